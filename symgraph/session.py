@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a session, so that it need not be installed on the executors."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, str(p.relative_to(here.parent)))
+    fd, name = tempfile.mkstemp(prefix="symgraph-", suffix=".zip")
+    with os.fdopen(fd, "wb") as f:
+        f.write(packed.getvalue())
+    sc.addPyFile(name)
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
