@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symgraph.llm.bpe import encode_corpus
 from symgraph.llm.mixing import Mixture
 from symgraph.llm.packing import pack_items
 from symgraph.llm.topk import top_n
@@ -43,6 +44,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_top(spark, sf_dir).select("file", "ord")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
 def mixture(spark: SparkSession, sf_dir: str) -> Mixture:
     return Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "p1_fill": p1_fill,
     "p3_found": p3_found,
     "p3_top": p3_top,
+    "p8_ids": p8_ids,
     "p9_selection": p9_selection,
     "p9_shares": p9_shares,
     "p9_blocks": p9_blocks,
