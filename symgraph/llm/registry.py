@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from symgraph.llm.bpe import encode_corpus
 from symgraph.llm.mixing import Mixture
 from symgraph.llm.packing import pack_items
+from symgraph.llm.residue import find_residue
 from symgraph.llm.topk import top_n
 from symgraph.session import table
 
@@ -65,6 +66,16 @@ def p9_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(spark, sf_dir).slots
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p10_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and windows per kind of residue."""
+    found = find_residue(table(spark, sf_dir, "documents"))
+    return found.groupBy("kind").agg(F.countDistinct("doc_id").alias("documents"), F.sum("windows").alias("windows"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_windows": p1_windows,
@@ -75,6 +86,8 @@ QUERIES = {
     "p9_selection": p9_selection,
     "p9_shares": p9_shares,
     "p9_blocks": p9_blocks,
+    "p10_found": p10_found,
+    "p10_kinds": p10_kinds,
 }
 
 _TOP = """

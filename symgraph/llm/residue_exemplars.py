@@ -1,0 +1,78 @@
+"""Labelled exemplars of residue in place of content, and of text that merely speaks of it."""
+
+#: What HTTP servers answer in place of a document (fixed values).
+STATUSES = [
+    "Bad Request", "Unauthorized", "Forbidden", "Not Found", "Method Not Allowed", "Request Timeout", "Gone", "Too Many Requests",
+    "Internal Server Error", "Not Implemented", "Bad Gateway", "Service Unavailable", "Gateway Time-out",
+]
+
+ERROR = [
+    *STATUSES,
+    *[f"Error 500 ({s})" for s in STATUSES],
+    *[f"HTTP 500 {s}" for s in STATUSES],
+    *[f'{{"error":{{"code":500,"message":"{s}"}}}}' for s in STATUSES],
+    *[f"<html><head><title>500 {s}</title></head><body><center><h1>500 {s}</h1></center><hr></body></html>" for s in STATUSES],
+    "HTTP error 500", "Error 500", "Page not found", "The page you requested was not found.", "The requested URL was not found on this server.",
+    "This page does not exist or has moved.", "Go back to the search form.", "The document you asked for is not on this server.",
+    "The requested publication could not be delivered.", "The full text of this publication could not be loaded.",
+    "The requested document could not be loaded.", "Document not available.", "Access denied.", "You do not have permission to view this record.",
+    "You are not authorized to view this page.", "The service is temporarily down for maintenance.", "The service is temporarily unavailable.",
+    "Please try again later.", "Please try again in a few minutes.", "We are sorry, something went wrong.", "An error has occurred.", "An unexpected error occurred.",
+    "Our team has been told.", "Your session has expired.", "Please sign in again to view the full text.", "Please log in to continue.",
+    "Too many queries from your address.", "Wait 30 seconds and reload.", "Query failed: no route to index shard 3",
+    "upstream connect error or disconnect before headers, code 503", "Connection timed out while reading the response from the server.",
+    "Traceback: record store timed out after 30 s while reading full text", "Traceback (most recent call last):", "Fatal error: uncaught exception",
+    "Seite nicht gefunden.", "Die angeforderte Veröffentlichung ist nicht vorhanden.", "Die angeforderte Seite konnte nicht gefunden werden.",
+    "Ein Fehler ist aufgetreten (Code 500).", "Bitte versuchen Sie es später erneut.", "Zugriff verweigert.", "Der Dienst ist vorübergehend nicht verfügbar.",
+    "Ihre Sitzung ist abgelaufen.", "Page introuvable.", "Le document demandé n'est plus disponible.", "La page demandée n'existe pas.",
+    "Erreur 503 : le service est momentanément indisponible.", "Une erreur est survenue.", "Veuillez réessayer plus tard.", "Accès refusé.", "Votre session a expiré.",
+    "Página no encontrada", "No se ha podido cargar el documento solicitado.", "Se ha producido un error.", "Inténtelo de nuevo más tarde.", "Acceso denegado.",
+    "El servicio no está disponible temporalmente.", "Su sesión ha caducado.",
+    "お探しのページは見つかりませんでした。", "エラーが発生しました。", "しばらくしてからもう一度お試しください。", "アクセスが拒否されました。", "ただいまサービスをご利用いただけません。",
+    "页面不存在或已被删除", "服务器繁忙,请稍后再试。", "您访问的页面不存在", "系统错误,请稍后重试", "访问被拒绝", "会话已过期,请重新登录",
+    "요청하신 페이지를 찾을 수 없습니다.", "오류가 발생했습니다.", "잠시 후 다시 시도해 주십시오.", "접근이 거부되었습니다.", "서비스를 일시적으로 사용할 수 없습니다.",
+]
+
+SCRIPT = [
+    "Please enable JavaScript to view this document.", "Please enable JavaScript to continue.", "JavaScript is disabled.", "JavaScript is required to view this page.",
+    "Some parts of the patent viewer will not work.", "Some features of this site will not work.", "This viewer needs scripts.", "Turn on JavaScript in your browser and reload the page.",
+    "You need to allow scripts and cookies for the full-text view", "Your browser does not support scripts or has blocked them; the full text cannot be shown.",
+    "Your browser does not support JavaScript.", "Checking your browser before you enter...", "scripts and cookies are required.", "Enable cookies and JavaScript in your browser settings.",
+    "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "JavaScript ist deaktiviert.", "Veuillez activer JavaScript pour afficher ce document.", "JavaScript est désactivé dans votre navigateur.",
+    "Es necesario activar JavaScript para ver el texto completo.", "Active JavaScript en su navegador.", "JavaScriptを有効にしてください。", "このページを表示するにはスクリプトを有効にしてください。",
+    "请启用JavaScript后重新加载页面。", "请在浏览器中启用脚本", "이 문서를 보려면 자바스크립트를 켜 주십시오.", "자바스크립트를 사용하도록 설정해 주십시오.",
+]
+
+FILLER = [
+    "Text text text text text text.", "Body copy to follow.", "Test document, please ignore.", "This is sample text.", "Replace it with the description of the invention.",
+    "TODO write detailed description", "TODO add text", "Description goes here.", "Content goes here.", "Your text here.", "Insert text here.", "Text to be added later.", "asdf asdf asdf jkl jkl", "qwerty qwerty", "xxxxx xxxxx xxxxx",
+    "dummy dummy dummy", "dummy text", "placeholder text", "blah blah blah", "foo bar baz", "Blindtext, bitte ersetzen.", "Hier steht der Text.", "Platzhaltertext", "Texte d'exemple à remplacer avant dépôt.", "Texte à venir.",
+    "Texto de ejemplo para reemplazar.", "Texto de relleno", "ダミーテキスト", "ここに本文を入力してください。", "此处填写说明书内容", "此处输入文本", "示例文本", "여기에 내용을 입력하십시오.", "예시 텍스트",
+]
+
+#: Filler whose words come in any order; a window counts by the share of it that these words cover.
+FILLER_WORDS = [
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
+    "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur "
+    "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum",
+    "lorem ipsum dolorum adveni esset proxi tuque minoris vanto pelle sitque quasta mela forma nonum sidera verbatur amentis calidora ligna rumor",
+]
+
+#: Sentences whose subject is placeholders or forms; MARK stands for any template part.
+MENTION = [
+    "The rendering unit replaces a placeholder such as MARK by the value held in the record store.", "A placeholder MARK is replaced by the stored value.",
+    "Each template contains variables of the form MARK that the generator fills before printing.", "In step S1 the parser looks for variables of the form MARK and hands them to the generator.",
+    "The operator presses the MARK key, whereupon the field MARK of the form becomes editable.", "The template engine substitutes the tag MARK with text entered by the user.",
+    "Claim text marked MARK by the editor is rejected by the checking module before storage.", "A field MARK of the form is displayed on the screen.",
+    "Der Platzhalter MARK wird im Schritt S1 durch den gespeicherten Wert ersetzt.", "Die Vorlage enthält Variablen der Form MARK, die der Generator ausfüllt.", "Das Feld MARK des Formulars wird angezeigt.",
+    "Le paramètre fictif MARK est remplacé par la valeur enregistrée.", "Le modèle contient des variables de la forme MARK que le générateur remplit.", "L'espace réservé MARK est remplacé par la valeur stockée.",
+    "El marcador de posición MARK se sustituye por el valor almacenado.", "La plantilla contiene variables de la forma MARK que rellena el generador.",
+    "プレースホルダMARKは記憶された値で置き換えられる。", "テンプレートはMARKという形の変数を含む。", "占位符MARK由存储的值替换。", "模板包含形如MARK的变量。", "자리 표시자 MARK는 저장된 값으로 대체된다.", "템플릿은 MARK 형태의 변수를 포함한다.",
+]
+
+#: Names of the fields that patent templates have, by which bracketed words are known as template parts.
+FIELDS = """title invention title title of invention abstract abstract text summary description desc claim claims claim count applicant applicant name applicant address inventor
+inventor name address agent attorney docket docket no priority priority no filing date publication date date name user name company assignee ipc class figure figure ref figure reference
+ref numeral reference numeral field of invention background insert placeholder titel titel der erfindung bezeichnung anmelder erfinder vertreter zusammenfassung beschreibung anspruch
+titre titre de l invention demandeur inventeur mandataire abrege resume revendication titulo titulo de la invencion solicitante resumen descripcion reivindicacion
+発明の名称 要約 請求項 出願人 発明者 発明名称 名称 摘要 权利要求 申请人 发明人 발명의 명칭 요약 청구항 출원인 발명자"""
