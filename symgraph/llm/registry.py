@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from symgraph.llm.bpe import encode_corpus
 from symgraph.llm.mixing import Mixture
 from symgraph.llm.packing import pack_items
+from symgraph.llm.parsing import invalid_files, invalid_rates
 from symgraph.llm.residue import find_residue
 from symgraph.llm.topk import top_n
 from symgraph.session import table
@@ -45,6 +46,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_top(spark, sf_dir).select("file", "ord")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_files(table(spark, sf_dir, "source_files")).select("path")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_rates(table(spark, sf_dir, "source_files"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -82,6 +91,8 @@ QUERIES = {
     "p1_fill": p1_fill,
     "p3_found": p3_found,
     "p3_top": p3_top,
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p8_ids": p8_ids,
     "p9_selection": p9_selection,
     "p9_shares": p9_shares,
