@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from symgraph.llm.bpe import encode_corpus
 from symgraph.llm.mixing import Mixture
+from symgraph.llm.origin import fit_classifiers, not_hand_written
 from symgraph.llm.packing import pack_items
 from symgraph.llm.parsing import invalid_files, invalid_rates
 from symgraph.llm.residue import find_residue
@@ -54,6 +55,20 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_rates(table(spark, sf_dir, "source_files"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_hand_written(table(spark, sf_dir, "source_files")).select("path")
+
+
+def p6_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_hand_written(table(spark, sf_dir, "source_files"))
+
+
+def p6_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each classifier does on repositories held out, against the giveaways it does not see."""
+    report = fit_classifiers(table(spark, sf_dir, "source_files")).report
+    return spark.createDataFrame(report, "classifier string, files int, giveaways int, found int, precision double, recall double")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -93,6 +108,9 @@ QUERIES = {
     "p3_top": p3_top,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
+    "p6_found": p6_found,
+    "p6_kinds": p6_kinds,
+    "p6_validation": p6_validation,
     "p8_ids": p8_ids,
     "p9_selection": p9_selection,
     "p9_shares": p9_shares,
