@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.extract.lines import RULES, scan_lines
+from symgraph.session import spread
 from symgraph.sources.files import language
 
 ROWS = (
@@ -99,11 +100,11 @@ DECLARATIONS: dict[str, list[tuple[str, str]]] = {
     "rust": [(rf"{_MODS}fn\s+(?P<n>\w+)", "function"), (rf"{_MODS}struct\s+(?P<n>\w+)", "struct"), (rf"{_MODS}enum\s+(?P<n>\w+)", "enum"), (rf"{_MODS}trait\s+(?P<n>\w+)", "interface"), (r"impl(?:<[^{;]*?>)?\s+(?:[^{;]*?\sfor\s+)?(?P<o>\w+)", "impl"), (rf"{_MODS}mod\s+(?P<n>\w+)", "module"), (rf"{_MODS}use\s+(?P<n>[^;]+)", "import"), (rf"{_MODS}(?:static|const)\s+(?:mut\s+)?(?P<n>\w+)\s*:", "constant"), (rf"{_MODS}type\s+(?P<n>\w+)", "type_alias")],
     "typescript": [(rf"{_MODS}function\s*\*?\s*(?P<n>\w+)", "function"), (rf"{_MODS}class\s+(?P<n>\w+)", "class"), (rf"{_MODS}interface\s+(?P<n>\w+)", "interface"), (rf"{_MODS}enum\s+(?P<n>\w+)", "enum"), (rf"{_MODS}type\s+(?P<n>\w+)[^=;]*=", "type_alias"), (rf"{_MODS}(?:const|let|var)\s+(?P<n>\w+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:\([^;{{}}]*?\)|\w+)\s*(?::[^=;{{}}]+)?=>", "function"), (r"import\b(?P<n>[^;\n]+)", "import"), (rf"{_MODS}(?:get\s+|set\s+)?(?P<n>[#\w]+)\s*(?:<[^(]*>)?\([^;{{}}]*\)\s*(?::[^{{;]+)?(?=\{{)", "method?")],
     "go": [(r"func\s+\(\s*\w*\s*\*?(?P<o>\w+)[^)]*\)\s*(?P<n>\w+)", "method"), (r"func\s+(?P<n>\w+)", "function"), (r"type\s+(?P<n>\w+)(?:\[[^\]]*\])?\s+struct", "struct"), (r"type\s+(?P<n>\w+)(?:\[[^\]]*\])?\s+interface", "interface"), (r"type\s+(?P<n>\w+)", "type_alias"), (r"package\s+(?P<n>\w+)", "module"), (r"const\s+(?P<n>\w+)", "constant"), (r"var\s+(?P<n>\w+)", "variable"), (r"import\s*(?P<n>\([^)]*\)|[^\n(]+)", "import")],
-    "java": [(rf"{_MODS}(?:@\w+\s+)*{_MODS}(?:class|record)\s+(?P<n>\w+)", "class"), (rf"{_MODS}@?interface\s+(?P<n>\w+)", "interface"), (rf"{_MODS}enum\s+(?P<n>\w+)", "enum"), (r"package\s+(?P<n>[\w.]+)", "module"), (r"import\s+(?:static\s+)?(?P<n>[\w.*]+)", "import"), (rf"{_MODS}(?:<[^>]*>\s*)?{_TYPE}(?P<n>\w+)\s*\([^;{{}}]*\)\s*(?:throws[^{{;]*)?(?=[{{;])", "method?"), (rf"{_MODS}(?P<n>\w+)\s*\([^;{{}}]*\)\s*(?:throws[^{{;]*)?(?=\{{)", "constructor?"), (rf"{_MODS}{_TYPE}(?P<n>\w+)\s*(?==[^=]|;)", "field?")],
+    "java": [(rf"{_MODS}(?P<n>\w+)\s*\([^;{{}}]*\)\s*(?:throws[^{{;]*)?(?=\{{)", "constructor?"), (rf"{_MODS}(?:@\w+\s+)*{_MODS}(?:class|record)\s+(?P<n>\w+)", "class"), (rf"{_MODS}@?interface\s+(?P<n>\w+)", "interface"), (rf"{_MODS}enum\s+(?P<n>\w+)", "enum"), (r"package\s+(?P<n>[\w.]+)", "module"), (r"import\s+(?:static\s+)?(?P<n>[\w.*]+)", "import"), (rf"{_MODS}(?:<[^>]*>\s*)?{_TYPE}(?P<n>\w+)\s*\([^;{{}}]*\)\s*(?:throws[^{{;]*)?(?=[{{;])", "method?"), (rf"{_MODS}{_TYPE}(?P<n>\w+)\s*(?==[^=]|;)", "field?")],
     "c": [(r"typedef\s+(?:struct|enum|union)?[^;{]*?(?:\{[^}]*\})?\s*(?P<n>\w+)\s*;", "type_alias"), (r"struct\s+(?P<n>\w+)\s*(?=\{)", "struct"), (r"enum\s+(?P<n>\w+)\s*(?=\{)", "enum"), (r"#\s*include\s*(?P<n>\S+)", "import"), (rf"{_MODS}{_TYPE}(?P<n>\w+)\s*\([^;{{}}]*\)\s*(?=[{{;])", "function")],
 }
 DECLARATIONS["cpp"] = [(rf"{_MODS}class\s+(?P<n>\w+)(?=[^;]*\{{)", "class"), (r"namespace\s+(?P<n>[\w:]+)", "module"), (r"using\s+(?P<n>[^;=]+);", "import"), (rf"{_MODS}(?:{_TYPE})?(?P<o>\w+)::(?P<n>~?\w+)\s*\([^;{{}}]*\)[^;{{}}]*(?=\{{)", "method"), *DECLARATIONS["c"], (rf"{_MODS}{_TYPE}(?P<n>\w+)\s*(?:=[^;]*)?;", "field?")]
-DECLARATIONS["csharp"] = [(r"using\s+(?P<n>[\w.]+)\s*;", "import"), (r"namespace\s+(?P<n>[\w.]+)", "module"), (rf"{_MODS}(?:class|record)\s+(?P<n>\w+)", "class"), (rf"{_MODS}interface\s+(?P<n>\w+)", "interface"), (rf"{_MODS}struct\s+(?P<n>\w+)", "struct"), (rf"{_MODS}enum\s+(?P<n>\w+)", "enum"), (rf"{_MODS}{_TYPE}(?P<n>\w+)\s*(?:<[^>]*>)?\([^;{{}}]*\)[^;{{}}]*(?=\{{|=>)", "method?"), (rf"{_MODS}(?P<n>\w+)\s*\([^;{{}}]*\)[^;{{}}]*(?=\{{)", "constructor?"), (rf"{_MODS}{_TYPE}(?P<n>\w+)\s*(?=\{{|=[^=]|;)", "field?")]
+DECLARATIONS["csharp"] = [(rf"{_MODS}(?P<n>\w+)\s*\([^;{{}}]*\)[^;{{}}]*(?=\{{)", "constructor?"), (r"using\s+(?P<n>[\w.]+)\s*;", "import"), (r"namespace\s+(?P<n>[\w.]+)", "module"), (rf"{_MODS}(?:class|record)\s+(?P<n>\w+)", "class"), (rf"{_MODS}interface\s+(?P<n>\w+)", "interface"), (rf"{_MODS}struct\s+(?P<n>\w+)", "struct"), (rf"{_MODS}enum\s+(?P<n>\w+)", "enum"), (rf"{_MODS}{_TYPE}(?P<n>\w+)\s*(?:<[^>]*>)?\([^;{{}}]*\)[^;{{}}]*(?=\{{|=>)", "method?"), (rf"{_MODS}{_TYPE}(?P<n>\w+)\s*(?=\{{|=[^=]|;)", "field?")]
 DECLARATIONS["dart"] = [(r"import\s+(?P<n>[^;]+)", "import"), (r"library\s+(?P<n>[\w.]+)", "module"), (rf"{_MODS}class\s+(?P<n>\w+)", "class"), (r"mixin\s+(?P<n>\w+)", "interface"), (r"extension\s+(?P<n>\w+)", "type_alias"), (r"enum\s+(?P<n>\w+)", "enum"), (rf"{_MODS}{_TYPE}(?:get\s+|set\s+)?(?P<n>\w+)\s*(?:\([^;{{}}]*\))?\s*(?:async\*?\s*)?(?=\{{|=>)", "function"), (rf"{_MODS}(?P<n>\w+(?:\.\w+)?)\s*\([^;{{}}]*\)\s*(?=\{{|;|:)", "constructor?"), (rf"{_MODS}{_TYPE}(?P<n>\w+)\s*(?=[=;])", "variable")]
 _COMPILED = {lang: [(re.compile(p), kind) for p, kind in rules] for lang, rules in DECLARATIONS.items()}
 _OWNERS = frozenset(["class", "interface", "struct", "enum", "impl", "module", "type_alias"])
@@ -128,9 +129,8 @@ def _calls(lang: str, text: str) -> list[str]:
     out = set()
     for m in re.finditer(r"((?:[^\W\d]\w*(?:::<[^>()]*>)?(?:\.|::|->))*[^\W\d]\w*)!?\s*\(", text):
         full = re.sub(r"::<[^>()]*>", "", m.group(1))
-        last = re.split(r"\.|::|->", full)[-1]
         before = text[max(0, m.start() - 12) : m.start()]
-        if last in _NOT_CALLS or re.search(r"\b(?:fn|func|function|def|new)\s+$", before):
+        if full in _NOT_CALLS or re.search(r"\b(?:fn|func|function|def|new)\s+$", before):
             continue
         if "." in full:
             first, _, rest = full.partition(".")
@@ -216,7 +216,7 @@ def braces(lang: str) -> Callable[[str], list[dict]]:
                             out.append(row(module, "import", line_of(at), line_of(m.end() - 1), refs=names, byte_start=at, byte_end=m.end()))
                             at = m.end()
                             break
-                        holder = m.groupdict().get("o") if kind == "method" else owner[0] if inside and owner[2] != "module" else None
+                        holder = m.groupdict().get("o") or (owner[0] if inside and owner[2] != "module" else None)
                         if kind == "function" and holder and lang != "go":
                             kind = "method"
                         sep = "::" if lang == "cpp" else "."
@@ -282,4 +282,4 @@ def extract_nodes(files: DataFrame) -> DataFrame:
         "file", "pos", "name", "qualified_name", "kind", "line_start", "line_end", "col_no", "signature", F.lit("private").alias("visibility"), *[F.lit(False).alias(x) for x in ("is_async", "is_static", "is_exported")],
         F.lit(None).cast("string").alias("docstring"), F.lit(0).alias("byte_start"), F.lit(0).alias("byte_end"), F.array().cast("array<string>").alias("refs"), F.lit(None).cast("string").alias("error"),
     )
-    return known.where(~F.col("language").isin(list(RULES))).mapInPandas(_extract, ROWS).unionByName(by_lines)
+    return spread(known.where(~F.col("language").isin(list(RULES)))).mapInPandas(_extract, ROWS).unionByName(by_lines)

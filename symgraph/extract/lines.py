@@ -20,19 +20,18 @@ RULES: dict[str, list[tuple[str, str]]] = {
 COMMENTS = ("//", "#", "/*", "*", "<!--")
 
 
-def _rule(line: Column, language: str) -> Column:
-    """``kind, name`` of a trimmed line, null if it declares nothing."""
-    out = F.lit(None).cast("struct<kind:string,name:string>")
-    made = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
-    if language == "markdown":
-        word = F.regexp_replace(F.regexp_extract(line, r"^#\S*\s+(\S+)", 1), "^#+", "")
-        out = F.when(line.rlike(r"^#\S*\s+\S"), made("section", word))
-    if language == "shell":
-        out = F.when(line.rlike(r"^[\p{L}\p{N}_-]+\s*\(\)"), made("function", F.regexp_extract(line, rf"^{NAME}", 1)))
-    for begin, kind in reversed(RULES[language]):
-        name = F.regexp_extract(line, "^" + begin.replace(".", r"\.") + r"\s*" + NAME, 1)
-        out = F.when(line.startswith(begin) & (name != ""), made(kind, name)).otherwise(out)
-    return out
+#: What declares a symbol without such a beginning, with its name, and the symbol's kind.
+OTHERWISE = {"shell": (rf"{NAME}\s*\(\)", "function"), "markdown": (r"#\S*\s+(\S+)", "section")}
+
+
+def _pattern(language: str) -> str:
+    """One pattern with groups for how a line begins, the name after that, and the name otherwise."""
+    begins = "|".join(b.replace(".", r"\.") for b, _ in RULES[language])
+    return rf"^(?:({begins})\s*{NAME}|{OTHERWISE.get(language, (r'(?!)()', ''))[0]})"
+
+
+def _lookup(values: dict[str, str], key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
 
 
 def scan_lines(files: DataFrame) -> DataFrame:
@@ -50,10 +49,11 @@ def scan_lines(files: DataFrame) -> DataFrame:
     for c in COMMENTS:
         comment = comment | line.startswith(c)
     lines = lines.where((line != "") & ((F.col("language") == "markdown") | ~comment))
-    found = F.lit(None).cast("struct<kind:string,name:string>")
-    for lang in RULES:
-        found = F.when(F.col("language") == lang, _rule(line, lang)).otherwise(found)
-    out = lines.withColumn("s", found).where("s IS NOT NULL AND s.name <> ''")
+    lines = lines.withColumn("pattern", _lookup({lang: _pattern(lang) for lang in RULES}, F.col("language")))
+    lines = lines.select("file", "pos", "raw", "line", "language", *[F.expr(f"regexp_extract(line, pattern, {g})").alias(f"g{g}") for g in (1, 2, 3)])
+    begun = _lookup({f"{lang}/{b}": k for lang, rules in RULES.items() for b, k in rules}, F.concat("language", F.lit("/"), "g1"))
+    other = _lookup({lang: k for lang, (_, k) in OTHERWISE.items()}, F.col("language"))
+    out = lines.select("file", "pos", "raw", "line", F.when(F.col("g2") != "", F.col("g2")).otherwise(F.regexp_replace("g3", "^#+", "")).alias("name"), F.when(F.col("g2") != "", begun).otherwise(other).alias("kind")).where("name <> ''")
     indent = F.octet_length(F.regexp_extract("raw", r"^(\s*)", 1))
     n = F.col("pos") + 1
-    return out.select("file", "pos", F.col("s.name").alias("name"), F.col("s.name").alias("qualified_name"), F.col("s.kind").alias("kind"), n.alias("line_start"), n.alias("line_end"), indent.alias("col_no"), F.col("line").alias("signature"))
+    return out.select("file", "pos", "name", F.col("name").alias("qualified_name"), "kind", n.alias("line_start"), n.alias("line_end"), indent.alias("col_no"), F.col("line").alias("signature"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.functions.predicates import confidence, node_role, severity, severity_rank
-from symgraph.operators.traverse import bfs
+from symgraph.operators.traverse import bfs_each
 from symgraph.schema import CodeGraph
 
 
@@ -16,10 +16,7 @@ def impact(graph: CodeGraph, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
     A vertex on a circle through the seed comes out in both directions. The
     order of a listing is severity, hop and id.
     """
-    out = None
-    for direction in ("up", "down"):
-        rows = bfs(graph.edges, seeds, direction, max_depth).where("hop > 0").withColumn("direction", F.lit(direction))
-        out = rows if out is None else out.unionByName(rows)
+    out = bfs_each(graph.edges, seeds, ["up", "down"], max_depth).where("hop > 0")
     return out.withColumns({"severity": severity(F.col("hop")), "severity_rank": severity_rank(F.col("hop"))})
 
 

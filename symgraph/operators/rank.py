@@ -36,34 +36,31 @@ def centrality(graph: CodeGraph, rounds: int = ROUNDS, damping: float = DAMPING,
         return graph.nodes.select("ord", F.lit(0.0).alias("score"))
     base = (1 - damping) / n
     w = call_weights(graph).persist()
-    ids = graph.nodes.select("ord").persist()
 
     def flow(s: DataFrame) -> DataFrame:
-        into = w.join(s.withColumnRenamed("ord", "src"), "src").groupBy(F.col("dst").alias("ord")).agg(F.sum(F.col("w") * F.col("score")).alias("f"))
-        return ids.join(into, "ord", "left").select("ord", (F.lit(base) + F.lit(damping) * F.coalesce("f", F.lit(0.0))).alias("score"))
+        """The next scores, and those before as ``prev``: every vertex's share and what flows to it are added up in one shuffle."""
+        own = s.select("ord", F.lit(base).alias("f"), F.col("score").alias("prev"))
+        into = w.join(s.select(F.col("ord").alias("src"), "score"), "src").select(F.col("dst").alias("ord"), (F.lit(damping) * F.col("w") * F.col("score")).alias("f"), F.lit(None).cast("double").alias("prev"))
+        return own.unionAll(into).groupBy("ord").agg(F.sum("f").alias("score"), F.max("prev").alias("prev"))
 
-    s = ids.withColumn("score", F.lit(1.0 / n))
+    s = graph.nodes.select("ord", F.lit(1.0 / n).alias("score"))
     if previous is not None:
-        s = checkpoint(ids.join(previous.select("ord", F.col("score").alias("p")), "ord", "left").select("ord", F.coalesce("p", F.lit(1.0 / n)).alias("score")))
-        total, after = s.agg(F.sum("score")).first()[0], flow(s).agg(F.sum("score")).first()[0]
-        c = (total - (after - n * base)) / (n * base)
+        known = previous.select("ord", F.col("score").alias("p"))
+        s = checkpoint(s.join(known, "ord", "left").select("ord", F.coalesce("p", "score").alias("score")))
+        r = flow(s).agg(F.sum("prev").alias("total"), F.sum("score").alias("after")).first()
+        c = (r["total"] - (r["after"] - n * base)) / (n * base)
         if EPSILON < c < float("inf"):
             s = s.withColumn("score", F.col("score") / c)
-    for i in range(rounds):
-        new = flow(s)
-        if (i + 1) % STRIDE and i + 1 < rounds:
-            s = new
+    for i in range(1, rounds + 1):
+        s = flow(s)
+        if i % STRIDE and i < rounds:
             continue
-        new = checkpoint(new)
-        if i + 1 < rounds and (i + 1) % STRIDE == 0:
-            moved = flow(new).withColumnRenamed("score", "t").join(new, "ord").agg(F.max(F.abs(F.col("t") - F.col("score")))).first()[0]
-            s = new
-            if moved < EPSILON:
-                break
-        s = new
-    top = s.agg(F.max("score")).first()[0]
+        s = checkpoint(s)
+        r = s.agg(F.max("score").alias("top"), F.max(F.abs(F.col("score") - F.col("prev"))).alias("moved")).first()
+        if r["moved"] < EPSILON:
+            break
     w.unpersist()
-    ids.unpersist()
+    top = r["top"] if rounds > 0 else 1.0
     return s.select("ord", (F.col("score") / F.lit(top if top and top > 0 else 1.0)).alias("score"))
 
 

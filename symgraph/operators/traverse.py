@@ -30,17 +30,24 @@ def bfs(edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int = 0)
     is the kind of the first step on such a way, at ties that by the smallest
     vertex before, then the smallest kind.
     """
+    return bfs_each(edges, seeds, [direction], max_depth).drop("direction")
+
+
+def bfs_each(edges: DataFrame, seeds: DataFrame, directions: list[str], max_depth: int = 0) -> DataFrame:
+    """:func:`bfs` in several directions apart, in the same rounds; with ``direction``."""
+    ways = [steps(edges, d).withColumn("direction", F.lit(d)) for d in directions]
     # parallel and repeated steps do not matter here; each pair of ends is kept with its smallest kind
-    way = checkpoint(steps(edges, direction).groupBy("at", "to").agg(F.min("kind").alias("kind")))
-    front = checkpoint(seeds.select(F.col("ord").alias("seed"), "ord", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("entry_edge")).distinct())
-    levels, depth = [front], 0
+    way = checkpoint(reduce(DataFrame.unionAll, ways).groupBy("direction", "at", "to").agg(F.min("kind").alias("kind")))
+    start = seeds.select(F.explode(F.array(*[F.lit(d) for d in directions])).alias("direction"), F.col("ord").alias("seed"), "ord", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("entry_edge"))
+    front = checkpoint(start.distinct())
+    levels, depth, key = [front], 0, ["direction", "seed", "to"]
     while not max_depth or depth < max_depth:
         depth += 1
-        seen = reduce(DataFrame.unionAll, levels).select("seed", F.col("ord").alias("to"))
+        seen = reduce(DataFrame.unionAll, levels).select("direction", "seed", F.col("ord").alias("to"))
         first = F.coalesce("entry_edge", "kind")
-        nexts = front.join(way, F.col("ord") == F.col("at")).groupBy("seed", "to").agg(F.min(F.struct("at", first.alias("edge")))["edge"].alias("entry_edge"))
-        nexts = nexts.join(seen, ["seed", "to"], "left_anti")
-        front = checkpoint(nexts.select("seed", F.col("to").alias("ord"), F.lit(depth).alias("hop"), "entry_edge"))
+        nexts = front.withColumnRenamed("ord", "at").join(way, ["direction", "at"]).groupBy(*key).agg(F.min(F.struct("at", first.alias("edge")))["edge"].alias("entry_edge"))
+        nexts = nexts.join(seen, key, "left_anti")
+        front = checkpoint(nexts.select("direction", "seed", F.col("to").alias("ord"), F.lit(depth).alias("hop"), "entry_edge"))
         if front.isEmpty():
             break
         levels.append(front)

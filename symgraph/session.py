@@ -56,6 +56,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For costly work by row on a plain scan: fewer partitions than the cluster has cores are dealt out anew.
+
+    Large inputs have more partitions than that and are read where they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def micros(c: Column) -> Column:
     """A timestamp with or without zone as microseconds since 1970 (null stays null)."""
     return F.unix_micros(c.cast("timestamp"))
