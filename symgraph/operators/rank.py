@@ -35,13 +35,15 @@ def centrality(graph: CodeGraph, rounds: int = ROUNDS, damping: float = DAMPING,
     if not n:
         return graph.nodes.select("ord", F.lit(0.0).alias("score"))
     base = (1 - damping) / n
-    w = call_weights(graph).persist()
+    # a row from each vertex to itself carries its share; so a round reads the scores once and shuffles once
+    own = graph.nodes.select(F.col("ord").alias("src"), F.col("ord").alias("dst"), F.lit(None).cast("double").alias("w"))
+    w = call_weights(graph).unionAll(own).persist()
 
     def flow(s: DataFrame) -> DataFrame:
-        """The next scores, and those before as ``prev``: every vertex's share and what flows to it are added up in one shuffle."""
-        own = s.select("ord", F.lit(base).alias("f"), F.col("score").alias("prev"))
-        into = w.join(s.select(F.col("ord").alias("src"), "score"), "src").select(F.col("dst").alias("ord"), (F.lit(damping) * F.col("w") * F.col("score")).alias("f"), F.lit(None).cast("double").alias("prev"))
-        return own.unionAll(into).groupBy("ord").agg(F.sum("f").alias("score"), F.max("prev").alias("prev"))
+        """The next scores, and those before as ``prev``."""
+        met = w.join(s.select(F.col("ord").alias("src"), "score"), "src")
+        share = F.when(F.col("w").isNull(), F.lit(base)).otherwise(F.lit(damping) * F.col("w") * F.col("score"))
+        return met.groupBy(F.col("dst").alias("ord")).agg(F.sum(share).alias("score"), F.max(F.when(F.col("w").isNull(), F.col("score"))).alias("prev"))
 
     s = graph.nodes.select("ord", F.lit(1.0 / n).alias("score"))
     if previous is not None:
