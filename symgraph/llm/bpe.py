@@ -24,9 +24,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from symgraph.llm.tokens import TOKENIZER
+from symgraph.session import spread
 
 #: How the tokenizer family splits text into words (fixed value of the public vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -191,5 +191,5 @@ def encode_corpus(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     ``path`` is the vocabulary file of a byte-level BPE tokenizer.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", F.col("text"))
-    return rows.mapInArrow(_encode(path), f"doc_id {kind}, ids array<int>")
+    rows = documents.select("doc_id", "text")
+    return spread(rows).mapInArrow(_encode(path), f"doc_id {kind}, ids array<int>")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgraph.llm.tokens import TOKENIZER, token_counts
-from symgraph.session import checkpoint
+from symgraph.session import checkpoint, spread
 
 BLOCK_TOKENS = 1024
 SHARD_BLOCKS = 1024
@@ -110,7 +110,7 @@ class Mixture:
         t = targets.where("source IS NOT NULL").groupBy("source").agg(F.max("target_weight").alias("w"), F.max("max_repeats").alias("r")).orderBy("source").collect()
         self.targets = [(r["source"], float(r["w"] or 0), int(r["r"] or 0)) for r in t]
         kinds = spark.createDataFrame([(s, i) for i, (s, _, _) in enumerate(self.targets)], "source string, src int")
-        counted = documents.select("doc_id", "source", token_counts("text", tokenizer).alias("n_tokens"))
+        counted = spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", token_counts("text", tokenizer).alias("n_tokens"))
         counted = counted.groupBy("doc_id").agg(F.max(F.struct("n_tokens", "source")).alias("d")).select("doc_id", "d.*")
         counted = checkpoint(counted.join(F.broadcast(kinds), "source").where("n_tokens > 0"))
         sums = {r["src"]: (r["n"], r["docs"]) for r in counted.groupBy("src").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect()}

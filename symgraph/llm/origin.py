@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from symgraph.llm.parsing import language_of
 from symgraph.llm.syntax import parse
+from symgraph.session import spread
 
 #: The most files that are used for training, those with the least hash of their path.
 TRAIN_FILES = 8_000
@@ -283,5 +284,5 @@ def not_hand_written(files: DataFrame, train_files: int = TRAIN_FILES) -> DataFr
             yield pd.DataFrame(out, columns=["path", "kind", "kinds"])
 
     known = files.where("path IS NOT NULL AND length(trim(text)) > 0").select("path", "repo", language_of(F.col("ext"), F.col("path")).alias("language"), "text")
-    found = known.mapInPandas(run, "path string, kind string, kinds string")
+    found = spread(known).mapInPandas(run, "path string, kind string, kinds string")
     return found.groupBy("path").agg(F.min("kind").alias("kind"), F.min("kinds").alias("kinds"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm.syntax import parse
+from symgraph.session import spread
 
 PARSED = "path string, repo string, language string, error_line int"
 
@@ -47,7 +48,7 @@ def parse_files(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": b["path"], "repo": b["repo"], "language": b["language"], "error_line": pd.Series(lines, dtype="int32", index=b.index)})
 
     known = files.select("path", "repo", language_of(F.col("ext"), F.col("path")).alias("language"), "text").where("language IS NOT NULL")
-    return known.mapInPandas(run, PARSED)
+    return spread(known).mapInPandas(run, PARSED)
 
 
 def invalid_files(files: DataFrame) -> DataFrame:

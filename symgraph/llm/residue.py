@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm import residue_exemplars as X
+from symgraph.session import spread
 
 #: Least shares of an exemplar found in a window, and of a window covered by an exemplar.
 RECALL, COVER, WORDS_COVER, MENTION_RECALL = 0.6, 0.6, 0.75, 0.4
@@ -242,7 +243,7 @@ def find_residue(documents: DataFrame) -> DataFrame:
     counts the document frequencies of the exemplars' terms, one scans.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    d = documents.select("doc_id", "text")
+    d = spread(documents.select("doc_id", "text"))
     counts = d.select("text").mapInPandas(_frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = {r["term"]: r["df"] for r in counts.collect()}  # a row per term of the exemplars
     return d.mapInPandas(_scan(Exemplars(df, df.pop("", 0))), f"doc_id {kind}, kind string, windows long, example string")
