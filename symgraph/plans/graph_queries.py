@@ -316,7 +316,7 @@ RANK = f"""
 
 @query(with_graph("SELECT ord, round(score, 6) AS score FROM fin", RANK, recursive=True))
 def centrality_cold(spark, d):
-    return rank.centrality(code_graph(spark, d)).select("ord", F.round("score", 6).alias("score"))
+    return rank.centrality(graph(spark, d)).select("ord", F.round("score", 6).alias("score"))
 
 
 @query(with_graph("SELECT v.ord, name, round(score, 6) AS score FROM fin JOIN v USING (ord) ORDER BY fin.score DESC, v.ord LIMIT 20", RANK, recursive=True))
