@@ -16,6 +16,7 @@ repositories held out.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,8 +30,9 @@ from symgraph.llm.parsing import language_of
 from symgraph.llm.syntax import parse
 from symgraph.session import spread
 
-#: The most files that are used for training, those with the least hash of their path.
+#: The most files that are used for training, those with the least hash of their path, and their most characters.
 TRAIN_FILES = 8_000
+TRAIN_CHARS = 50_000
 BITS = 18
 NGRAMS = (3, 5)
 PARTS = 3
@@ -202,15 +204,15 @@ def part_of(repo: str | None) -> int:
 class Classifiers:
     """Weights and bias by kind and part of the repositories, the thresholds, and how each kind did on repositories held out (against the giveaways)."""
 
-    def __init__(self, sample: list[tuple[str, str, str]]):
-        """``sample`` has path, repository and text of each file."""
+    def __init__(self, sample: list[tuple[str, str, str]], kinds: tuple[str, ...] = MODELS):
+        """``sample`` has path, repository and text of each file; only ``kinds`` are trained."""
         self.models: dict[str, tuple[list[tuple[np.ndarray, float]], float]] = {}
         self.report: list[tuple] = []
         feats = [features(p, t) for p, _, t in sample]
         known = [giveaways(p, t) for p, _, t in sample]
         part = np.array([part_of(r) for _, r, _ in sample], int)
         extra = [(_header(f"// {text}\n"), kind) for kind, text in HEADERS]
-        for kind in MODELS:
+        for kind in kinds:
             header = kind.endswith("_header")
             # a copy that only its header tells looks like any other file
             use = np.array([f[1] is not None if header else kind != "third_party" or not ("third_party_header" in k and kind not in k) for f, k in zip(feats, known)], bool)
@@ -248,10 +250,23 @@ class Classifiers:
 
 
 def fit_classifiers(files: DataFrame, train_files: int = TRAIN_FILES) -> Classifiers:
-    """Trained on at most ``train_files`` files, on the driver."""
-    known = files.where("path IS NOT NULL AND text IS NOT NULL").select("path", "repo", "text", F.xxhash64("path").alias("h"))
+    """Trained on at most ``train_files`` files of at most ``TRAIN_CHARS`` characters, a task per kind."""
+    spark = files.sparkSession
+    known = files.where("path IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= TRAIN_CHARS).select("path", "repo", "text", F.xxhash64("path").alias("h"))
     rows = known.orderBy("h", "path").limit(train_files).collect()
-    return Classifiers([(r["path"], r["repo"], r["text"]) for r in rows])
+    sample = spark.sparkContext.broadcast([(r["path"], r["repo"], r["text"]) for r in rows])
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for kind in b["kind"]:
+                c = Classifiers(sample.value, (kind,))
+                yield pd.DataFrame({"fitted": [pickle.dumps((kind, c.models[kind], c.report[0]))]})
+
+    kinds = spark.createDataFrame([(k,) for k in MODELS], "kind string").repartition(len(MODELS))
+    out = Classifiers.__new__(Classifiers)
+    fitted = sorted((pickle.loads(r["fitted"]) for r in kinds.mapInPandas(fit, "fitted binary").collect()), key=lambda f: MODELS.index(f[0]))  # noqa: S301 - our own
+    out.models, out.report = {k: m for k, m, _ in fitted}, [r for *_, r in fitted]
+    return out
 
 
 def not_hand_written(files: DataFrame, train_files: int = TRAIN_FILES) -> DataFrame:
