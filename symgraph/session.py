@@ -24,9 +24,17 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, str(p.relative_to(here.parent)))
-    fd, name = tempfile.mkstemp(prefix="symgraph-", suffix=".zip")
-    with os.fdopen(fd, "wb") as f:
-        f.write(packed.getvalue())
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:  # the folder that all machines share
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{named.rstrip('/')}/symgraph-{sc.applicationId}.zip")
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        name = at.toString()
+    else:
+        fd, name = tempfile.mkstemp(prefix="symgraph-", suffix=".zip")
+        with os.fdopen(fd, "wb") as f:
+            f.write(packed.getvalue())
     sc.addPyFile(name)
     _shipped.add(sc.applicationId)
 
