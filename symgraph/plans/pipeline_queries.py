@@ -61,10 +61,10 @@ def language_routing(spark, d):
     return t.groupBy(language(F.col("ext")).alias("language"), is_supported(F.col("ext")).alias("supported")).agg(F.count(F.lit(1)).alias("files"))
 
 
-def line_scan_sections(spark, d):
-    """Headings of the documents, read as Markdown."""
-    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("markdown").alias("language"), "text")
-    return scan_lines(t).select("file", "name", "line_start")
+def line_scan(spark, d):
+    """The Python files read by the line rules of Ruby, whose declarations begin alike."""
+    t = table(spark, d, "source_files").where(F.lower("ext") == "py").select("path", F.lit("ruby").alias("language"), "text")
+    return scan_lines(t).select("file", "name", "kind", "line_start", "col_no", "signature")
 
 
 def path_predicates(spark, d):
@@ -91,7 +91,7 @@ def snapshot_edge_batches(spark, d):
     return snapshot_batches(code_graph(spark, d))[1]
 
 
-QUERIES = {f.__name__: f for f in (incremental_hits, deleted_cached, extracted_nodes, extraction_errors, extracted_edges, language_routing, line_scan_sections, path_predicates, debounce_sessions, snapshot_node_batches, snapshot_edge_batches)}
+QUERIES = {f.__name__: f for f in (incremental_hits, deleted_cached, extracted_nodes, extraction_errors, extracted_edges, language_routing, line_scan, path_predicates, debounce_sessions, snapshot_node_batches, snapshot_edge_batches)}
 
 _SLASH = "replace({}, chr(92), '/')"
 ORACLE = {
@@ -99,6 +99,11 @@ ORACLE = {
     "deleted_cached": f"WITH {CACHE} SELECT file FROM cache WHERE file NOT IN (SELECT path FROM source_files)",
     "language_routing": """SELECT CASE lower(ext) WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'typescript' WHEN 'c' THEN 'c' END AS language,
         lower(ext) IN ('py', 'rs', 'go', 'java', 'ts', 'js', 'c') AS supported, count(*) AS files FROM source_files GROUP BY 1, 2""",
+    "line_scan": """WITH l AS (SELECT path AS file, unnest(t) AS raw, generate_subscripts(t, 1) AS line_start FROM (SELECT path, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS t FROM source_files WHERE lower(ext) = 'py')),
+        m AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM l)
+        SELECT file, regexp_extract(line, '^(def self\\.|def |class |module )\\s*([\\p{L}\\p{N}_-]+)', 2) AS name, CASE WHEN starts_with(line, 'def') THEN 'function' WHEN starts_with(line, 'class') THEN 'class' ELSE 'module' END AS kind,
+            CAST(line_start AS INTEGER) AS line_start, CAST(strlen(regexp_extract(raw, '^(\\s*)', 1)) AS INTEGER) AS col_no, line AS signature
+        FROM m WHERE regexp_matches(line, '^(def self\\.|def |class |module )\\s*[\\p{L}\\p{N}_-]')""",
     "path_predicates": """SELECT path, regexp_matches(lower(path), '/test|\\\\test|/spec|\\\\spec|__test__|_test\\.|\\.test\\.|\\.spec\\.|/fixture|/mock|/stub|/fake|(_test\\.go|_test\\.py|_test\\.rs|test\\.ts|test\\.js)$') AS rank,
         regexp_matches(lower(path), '/test|/spec|/fixture|/mock|__tests__|\\.test\\.|\\.spec\\.|_test\\.') AS map,
         regexp_matches(lower(path), '(^|/)(tests?|specs?|fixtures?|mocks?|__tests__|__mocks__|testfixtures)(/|$)|(test\\.java|tests\\.java|test\\.rs|test\\.tsx?|test\\.jsx?|test\\.py|test\\.go|tests?\\.cs|_test\\.dart)$|\\.spec\\.|\\.test\\.|(^|/)test_[^/]*$|(^|/)conftest\\.py$') AS cli,
