@@ -70,6 +70,10 @@ _TOKEN = re.compile(rf"{MARK}|[{_CJK}]+|[^\W_]+")
 _OCR = str.maketrans("015", "ols")
 
 
+#: What every template part has somewhere: a text in which this is not found needs no search for them.
+_TRIGGER = re.compile(r"[{<$@%|«]|\*\*|__|[XDTY]{2}[./-]|[xdty]{2}[./-]|[Yy]{4}|[\[(〔【]\s*[^\W\d]|\[\[")
+
+
 def plain(text: str) -> str:
     """Lower case without accents; Hangul stays whole."""
     if text.isascii():
@@ -93,6 +97,8 @@ def _fields() -> frozenset[str]:
 
 def mark(text: str) -> str:
     """The text with each unfilled template part written as one term. HTML elements and formulas are none."""
+    if not _TRIGGER.search(text):
+        return text
     text = _STRONG.sub(f" {MARK} ", text)
 
     def weak(m: re.Match) -> str:
@@ -120,6 +126,7 @@ def terms(text: str) -> list[str]:
 
 
 _QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^」\n]*」|『[^』\n]*』')
+_QUOTES = '"“„«「『'
 _END = re.compile(rf"[.!?](?=\s|[{_CJK}])|[。！？]")
 
 
@@ -128,7 +135,7 @@ def windows(text: str) -> Iterator[str]:
     for line in text.splitlines():
         if not line.strip():
             continue
-        held = [(m.start(), m.end()) for m in _QUOTED.finditer(line)] if any(q in line for q in '"“„«「『') else []
+        held = [(m.start(), m.end()) for m in _QUOTED.finditer(line)] if any(q in line for q in _QUOTES) else []
         begin = 0
         for m in _END.finditer(line):
             if any(a < m.start() < b - 1 for a, b in held):
@@ -166,13 +173,15 @@ class Exemplars:
     def kind(self, window: str) -> str | None:
         """The kind of residue in a window, or None."""
         marked = mark(window)
-        tf = Counter(terms(marked))
-        if not tf:
+        words = terms(marked)
+        index = self.index
+        if MARK not in words and not any(t in index for t in words):
             return None
-        outside = terms(_QUOTED.sub(" ", marked))
-        if LEAST_OUTSIDE <= len(outside) < sum(tf.values()):  # a sentence that quotes: only what it says itself counts
+        tf = Counter(words)
+        outside = terms(_QUOTED.sub(" ", marked)) if any(q in marked for q in _QUOTES) else words
+        if LEAST_OUTSIDE <= len(outside) < len(words):  # a sentence that quotes: only what it says itself counts
             tf = Counter(outside)
-        met = {i for t in tf for i in self.index.get(t, ())}
+        met = {i for t in tf for i in index.get(t, ())}
         if not met and MARK not in tf:
             return None
         weight = self.weight
@@ -209,12 +218,12 @@ def vocabulary() -> frozenset[str]:
 
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of the exemplars' terms only, so a task returns at most as many rows as the exemplars have terms."""
-    df, n = Counter(), 0
+    df, n, known = Counter(), 0, vocabulary()
     for b in batches:
         n += len(b)
         for text in b["text"]:
             if text:
-                df.update(vocabulary() & set(terms(mark(text))))
+                df.update(known.intersection(terms(mark(text))))
     yield pd.DataFrame([("", n), *df.items()], columns=["term", "df"])
 
 
