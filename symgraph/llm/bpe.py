@@ -16,7 +16,6 @@ same, and long runs without blanks (as in Chinese text) fall into short pieces.
 from __future__ import annotations
 
 import json
-import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -142,8 +141,8 @@ class Encoder:
             self.pieces[pieces[i]] = ids
         self.db.unregister("pieces")
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text; null and empty texts have none."""
+    def learn(self, texts: list[str | None]) -> list[list[str]]:
+        """The words of each text, all of which are encoded afterwards."""
         split = [self.split(t) if t else [] for t in texts]
         if len(self.pieces) > CACHE_PIECES or len(self.words) > CACHE_PIECES:
             self.words, self.pieces = {}, {}
@@ -152,9 +151,18 @@ class Encoder:
         self.encode_pieces(list({p for ps in cuts.values() for p in ps if p not in self.pieces}))
         for w, ps in cuts.items():
             self.words[w] = self.pieces[ps[0]] if len(ps) == 1 else [i for p in ps for i in self.pieces[p]]
-        known = self.words
+        return split
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text; null and empty texts have none."""
+        split, known = self.learn(texts), self.words
         return [[i for w in words for i in known[w]] for words in split]
 
+    def count(self, texts: list[str | None]) -> list[int]:
+        """The number of ids of each text."""
+        split, known = self.learn(texts), self.words
+        return [sum([len(known[w]) for w in words]) for words in split]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -165,19 +173,22 @@ def encoder(path: str) -> Encoder:
 GROUP_CHARS = 2_000_000
 
 
+def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t or "")
+        if size > GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("OMP_NUM_THREADS", "1")
         for batch in batches:
-            texts, ids, group, size = batch.column("text").to_pylist(), [], [], 0
-            for t in texts:
-                group.append(t)
-                size += len(t or "")
-                if size > GROUP_CHARS:
-                    ids += encoder(path).encode(group)
-                    group, size = [], 0
-            if group:
-                ids += encoder(path).encode(group)
+            ids = [x for g in groups(batch.column("text").to_pylist()) for x in encoder(path).encode(g)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return run

@@ -3,36 +3,24 @@
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Folder of the public vocabulary files, and the one used unless another is named.
 TOKENIZERS = os.environ.get("SYMGRAPH_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
-@lru_cache(maxsize=4)
-def _load(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
-
-
 def token_counts(text: str, path: str = TOKENIZER) -> Column:
-    """The number of tokens of each whole text, 0 for null and empty ones."""
+    """The number of tokens of each whole text by a byte-level BPE vocabulary, 0 for null and empty ones."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(LongType())
     def count(texts: pd.Series) -> pd.Series:
-        t, out = _load(path), []
-        known = texts.fillna("").tolist()
-        for i in range(0, len(known), 64):
-            out += [len(e.ids) for e in t.encode_batch(known[i : i + 64], add_special_tokens=False)]
-        return pd.Series(out, dtype="int64")
+        from symgraph.llm.bpe import encoder, groups
+
+        return pd.Series([n for g in groups(texts.tolist()) for n in encoder(path).count(g)], index=texts.index, dtype="int64")
 
     return count(F.col(text))
