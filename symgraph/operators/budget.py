@@ -70,10 +70,26 @@ def slice_context(graph: CodeGraph, centrality: DataFrame, target: int, max_toke
 
 
 def prefix_context(hits: DataFrame, scores: DataFrame, max_tokens: int) -> DataFrame:
-    """The most central hits until the first that overflows the budget; a line is ten tokens."""
-    rows = hits.join(scores.select("ord", "score"), "ord", "left").fillna(0.0, ["score"]).withColumn("tokens", (F.col("line_end") - F.col("line_start")) * 10)
-    running = F.sum("tokens").over(Window.orderBy(F.desc("score"), "ord").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", running).where(F.col("used") <= max_tokens)
+    """The most central hits before the first that overflows the budget, with ``used`` so far; a line is ten tokens.
+
+    Where it overflows is found from the hits that have tokens, of which a
+    budget holds few; only what lies before is added up in order.
+    """
+    rows = hits.join(scores.select("ord", "score"), "ord", "left").fillna(0.0, ["score"]).withColumns({"tokens": (F.col("line_end") - F.col("line_start")) * 10, "minus": -F.col("score")})
+    used, over = 0, None
+
+    def take(r: Row) -> bool:
+        nonlocal used, over
+        used += r["tokens"]
+        if over is None and used > max_tokens:
+            over = r
+        return False
+
+    fold_in_order(rows.where("tokens > 0").select("minus", "ord", "tokens"), ["minus", "ord"], take, lambda: None if over else F.lit(True))
+    if over:
+        rows = rows.where((F.col("minus") < over["minus"]) | ((F.col("minus") == over["minus"]) & (F.col("ord") < over["ord"])))
+    running = F.sum("tokens").over(Window.orderBy("minus", "ord").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("used", running).drop("minus")
 
 
 def map_scores(nodes: DataFrame, centrality: DataFrame, focus: list[str] | None = None, exclude_tests: bool = True) -> DataFrame:

@@ -184,6 +184,14 @@ def test_budgets(spark, monkeypatch):
         assert got == brute
 
 
+def test_prefix_context(spark):
+    g, _, _ = graph(spark, "", more=list("abcdef"))
+    n = g.nodes.withColumn("line_end", F.col("line_start") + F.when(F.col("name") == "b", 0).otherwise(2))
+    s = n.select("ord", (F.lit(1.0) / F.col("ord")).alias("score"))
+    assert [(r.name, r.used) for r in budget.prefix_context(n, s, 45).orderBy("ord").collect()] == [("a", 20), ("b", 20), ("c", 40)]
+    assert budget.prefix_context(n, s, 1000).count() == 6 and budget.prefix_context(n, s, 5).collect() == []
+
+
 def test_map(spark):
     g, at, _ = graph(spark, "main>helper", files={"main": "src/main.rs", "helper": "src/lib.rs"}, more=["tested"])
     m = budget.build_map(g.nodes, g.nodes.select("ord", F.lit(0.1).alias("score")))
