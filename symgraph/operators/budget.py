@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,6 +70,37 @@ def slice_context(graph: CodeGraph, centrality: DataFrame, target: int, max_toke
     return kept, "token_budget" if skipped or len(kept) < total else "complete"
 
 
+def slice_contexts(graph: CodeGraph, centrality: DataFrame, targets: DataFrame, max_tokens: int, max_depth: int = 2) -> DataFrame:
+    """``target, pos, ord, depth, tokens, reason``: :func:`slice_context` without pins for every ``ord`` of ``targets`` at once.
+
+    The candidates of a target stream past in order; only what is kept of it is
+    held, which the budget bounds.
+    """
+    near = bfs(graph.edges, targets.select("ord").distinct(), "both", max_depth).select(F.col("seed").alias("target"), "ord", F.col("hop").alias("depth"))
+    n = graph.nodes.select("ord", token_estimate(*[F.col(c) for c in ("name", "qualified_name", "file", "signature", "line_start", "line_end")]).cast("long").alias("tokens"))
+    rows = near.join(n, "ord").join(centrality.select("ord", "score"), "ord", "left").fillna(0.0, ["score"])
+    rows = rows.select("target", "ord", "depth", "tokens", (-F.col("score")).alias("minus"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, now, kept, used, reason = ["target", "pos", "ord", "depth", "tokens", "reason"], None, [], 0, "complete"
+        for b in batches:
+            out = []
+            for target, ord_, depth, tokens in zip(*[b[c].tolist() for c in ("target", "ord", "depth", "tokens")]):
+                if target != now:
+                    out += [(*k, reason) for k in kept]
+                    now, kept, used, reason = target, [], 0, "complete"
+                if max_tokens and used + tokens > max_tokens:
+                    reason = "token_budget"
+                    continue
+                kept.append((target, len(kept), ord_, depth, tokens))
+                used += tokens
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([(*k, reason) for k in kept], columns=names)
+
+    ordered = rows.repartition("target").sortWithinPartitions("target", "depth", "minus", "ord").select("target", "ord", "depth", "tokens")
+    return ordered.mapInPandas(fold, "target long, pos int, ord long, depth int, tokens long, reason string")
+
+
 def prefix_context(hits: DataFrame, scores: DataFrame, max_tokens: int) -> DataFrame:
     """The most central hits before the first that overflows the budget, with ``used`` so far; a line is ten tokens.
 

@@ -87,6 +87,32 @@ def shortest_path(graph: CodeGraph, start: int, end: int) -> list[int] | None:
     return path[::-1]
 
 
+def shortest_paths(graph: CodeGraph, pairs: DataFrame) -> DataFrame:
+    """``start, end, pos, ord``: :func:`shortest_path` for a table of ``start, end``, all in the same rounds; pairs without a way have no rows."""
+    way = checkpoint(graph.edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
+    todo = checkpoint(pairs.select("start", "end").distinct())
+    front = checkpoint(todo.select("start", F.col("start").alias("ord"), F.lit(None).cast("long").alias("before")).distinct())
+    levels, ends = [front], []
+    while True:
+        met = checkpoint(todo.join(front.select("start", F.col("ord").alias("end")), ["start", "end"]))
+        ends.append(met)
+        todo = checkpoint(todo.join(met, ["start", "end"], "left_anti"))
+        seen = reduce(DataFrame.unionAll, levels).select("start", F.col("ord").alias("to"))
+        live = front.join(todo.select("start").distinct(), "start", "left_semi")
+        nexts = live.join(way, F.col("ord") == F.col("at")).groupBy("start", "to").agg(F.min("at").alias("before")).join(seen, ["start", "to"], "left_anti")
+        front = checkpoint(nexts.select("start", F.col("to").alias("ord"), "before"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+    at, out = todo.where("false").select("start", "end", F.col("end").alias("ord")), []
+    for k in range(len(levels) - 1, -1, -1):
+        at = at.unionAll(ends[k].select("start", "end", F.col("end").alias("ord")))
+        out.append(at.select("start", "end", F.lit(k).alias("pos"), "ord"))
+        if k:
+            at = checkpoint(at.join(levels[k], ["start", "ord"]).select("start", "end", F.col("before").alias("ord")))
+    return reduce(DataFrame.unionAll, out)
+
+
 def file_graph(graph: CodeGraph, file: str) -> tuple[DataFrame, DataFrame]:
     """The vertices of a file, and ``source, target, kind`` (names) of the edges with both ends in it."""
     n = graph.nodes.where(F.col("file") == file)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.plans import data_problems, graph_queries, pipeline_queries
+from symgraph.plans import data_problems, graph_queries, pipeline_queries, whole_queries
 
-MODULES = [data_problems, graph_queries, pipeline_queries]
+MODULES = [data_problems, graph_queries, pipeline_queries, whole_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,133 @@
+"""The graph operators over the whole graph, where ``graph_queries`` asks for five sampled vertices only.
+
+Lookups answer for all vertices, walks for a query set that grows with the
+graph. Where the sampled query has SQL, the same SQL over the larger set holds.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from symgraph.operators import budget, diff, impact, lookup, traverse
+from symgraph.plans.adapters import code_graph
+from symgraph.plans.graph_queries import ORACLE as SAMPLED
+from symgraph.plans.graph_queries import SEEDS, graph, scores
+from symgraph.schema import CodeGraph
+
+ALL = "seeds AS (SELECT ord FROM v)"
+WANTED = "seeds AS (SELECT ord FROM v WHERE ord % 20 = 0 UNION (SELECT dst FROM e WHERE kind = 'calls' GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1))"
+
+Q, S = {}, {}
+
+
+def query(seeds_sql: str | None):
+    def keep(f):
+        Q[f.__name__] = f
+        if seeds_sql:
+            S[f.__name__] = SAMPLED[f.__name__.removesuffix("_all")].replace(SEEDS, seeds_sql)
+        return f
+
+    return keep
+
+
+def wanted(g: CodeGraph) -> DataFrame:
+    """The query set of the walks: every vertex with a number divisible by 20, and the one with most calls to it."""
+    hot = g.calls().groupBy(F.col("dst").alias("ord")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ord").limit(1)
+    return g.nodes.where("ord % 20 = 0").select("ord").unionAll(hot.select("ord")).distinct()
+
+
+# ------------------------------------------------------------- lookups of all vertices
+
+
+@query(ALL)
+def callers_all(spark, d):
+    g = code_graph(spark, d)
+    return lookup.callers(g, g.nodes.select("ord")).select("of_ord", "ord", "name")
+
+
+@query(ALL)
+def callees_all(spark, d):
+    g = code_graph(spark, d)
+    return lookup.callees(g, g.nodes.select("ord")).select("of_ord", "ord", "name")
+
+
+@query(ALL)
+def explain_symbols_all(spark, d):
+    g = graph(spark, d)
+    return lookup.first_neighbours(g, g.nodes.select("ord"))
+
+
+@query(None)
+def batch_query_all(spark, d):
+    """Every id and name of the graph, and one that is unknown; a symbol's ``pos`` is its least vertex."""
+    g = graph(spark, d)
+    symbols = g.nodes.select("ord", F.explode(F.array("id", "name")).alias("symbol")).groupBy("symbol").agg(F.min("ord").alias("pos"))
+    unknown = spark.createDataFrame([(-1, "?none")], "pos long, symbol string")
+    return lookup.batch_query(g, symbols.select("pos", "symbol").unionAll(unknown))
+
+
+# ------------------------------------------------------------- walks of the query set
+
+
+@query(WANTED)
+def dependents_all(spark, d):
+    g = graph(spark, d)
+    return traverse.dependents(g, wanted(g), 5)
+
+
+@query(WANTED)
+def impact_analysis_all(spark, d):
+    g = graph(spark, d)
+    return impact.impact(g, wanted(g), 5).select("seed", "direction", "ord", "hop", "severity")
+
+
+@query(WANTED)
+def impact_summary_all(spark, d):
+    g = graph(spark, d)
+    return impact.severity_summary(impact.impact(g, wanted(g), 5))
+
+
+@query(WANTED)
+def impact_confidence_all(spark, d):
+    g = graph(spark, d)
+    s = wanted(g)
+    return impact.impact_counts(g, s, impact.impact(g, s, 5))
+
+
+@query(WANTED)
+def shortest_hops_all(spark, d):
+    g = graph(spark, d)
+    return traverse.bfs(g.edges, wanted(g), "down", 12).select("seed", "ord", "hop")
+
+
+@query(None)
+def shortest_path_all(spark, d):
+    """To each vertex of the query set from its farthest caller within six steps."""
+    g = graph(spark, d)
+    up = traverse.bfs(g.edges, wanted(g), "up", 6)
+    far = up.groupBy(F.col("seed").alias("end")).agg(F.min_by("ord", F.struct(-F.col("hop"), F.col("ord"))).alias("start"))
+    return traverse.shortest_paths(g, far)
+
+
+@query(None)
+def changed_nodes_all(spark, d):
+    g = graph(spark, d)
+    return diff.changed_nodes(g.nodes, g.nodes.join(wanted(g), "ord").select("file")).select("ord")
+
+
+@query(WANTED)
+def agent_review_all(spark, d):
+    g = graph(spark, d)
+    changed = diff.changed_nodes(g.nodes, g.nodes.join(wanted(g), "ord").select("file"))
+    return diff.review(g, changed, lookup.detail(g, scores(spark, d)))
+
+
+@query(None)
+def slice_budget_all(spark, d):
+    """The neighbourhood of each vertex of the query set under 4,000 tokens."""
+    g = graph(spark, d)
+    return budget.slice_contexts(g, scores(spark, d), wanted(g), 4000)
+
+
+QUERIES, ORACLE = Q, S
