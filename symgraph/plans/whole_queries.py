@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.operators import budget, diff, impact, lookup, traverse
+from symgraph.operators import audit, budget, diff, impact, lookup, traverse
 from symgraph.plans.adapters import code_graph
 from symgraph.plans.graph_queries import ORACLE as SAMPLED
 from symgraph.plans.graph_queries import SEEDS, graph, scores
 from symgraph.schema import CodeGraph
+from symgraph.session import checkpoint
 
 ALL = "seeds AS (SELECT ord FROM v)"
 WANTED = "seeds AS (SELECT ord FROM v WHERE ord % 20 = 0 UNION (SELECT dst FROM e WHERE kind = 'calls' GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1))"
@@ -21,16 +22,26 @@ WANTED = "seeds AS (SELECT ord FROM v WHERE ord % 20 = 0 UNION (SELECT dst FROM
 Q, S = {}, {}
 
 
-def query(seeds_sql: str | None):
+def query(seeds_sql: str | None, *deeper: tuple[str, str]):
+    """``deeper``: bounds of depth in the sampled query's SQL, and what stands for them here."""
     def keep(f):
         Q[f.__name__] = f
         if seeds_sql:
-            S[f.__name__] = SAMPLED[f.__name__.removesuffix("_all")].replace(SEEDS, seeds_sql)
+            sql = SAMPLED[f.__name__.removesuffix("_all")].replace(SEEDS, seeds_sql)
+            for old, new in deeper:
+                sql = sql.replace(old, new)
+            S[f.__name__] = sql
         return f
 
     return keep
 
 
+def lean(spark, d) -> CodeGraph:
+    """The graph for walks, written once with the columns that they read."""
+    g = code_graph(spark, d)
+    return CodeGraph(checkpoint(g.nodes.select("ord", "id", "name", "file")), checkpoint(g.edges.select("src", "dst", "kind")))
+
+
 def wanted(g: CodeGraph) -> DataFrame:
     """The query set of the walks: every vertex with a number divisible by 20, and the one with most calls to it."""
     hot = g.calls().groupBy(F.col("dst").alias("ord")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ord").limit(1)
@@ -72,39 +83,39 @@ def batch_query_all(spark, d):
 
 @query(WANTED)
 def dependents_all(spark, d):
-    g = graph(spark, d)
+    g = lean(spark, d)
     return traverse.dependents(g, wanted(g), 5)
 
 
 @query(WANTED)
 def impact_analysis_all(spark, d):
-    g = graph(spark, d)
+    g = lean(spark, d)
     return impact.impact(g, wanted(g), 5).select("seed", "direction", "ord", "hop", "severity")
 
 
 @query(WANTED)
 def impact_summary_all(spark, d):
-    g = graph(spark, d)
+    g = lean(spark, d)
     return impact.severity_summary(impact.impact(g, wanted(g), 5))
 
 
 @query(WANTED)
 def impact_confidence_all(spark, d):
-    g = graph(spark, d)
+    g = lean(spark, d)
     s = wanted(g)
     return impact.impact_counts(g, s, impact.impact(g, s, 5))
 
 
 @query(WANTED)
 def shortest_hops_all(spark, d):
-    g = graph(spark, d)
+    g = lean(spark, d)
     return traverse.bfs(g.edges, wanted(g), "down", 12).select("seed", "ord", "hop")
 
 
 @query(None)
 def shortest_path_all(spark, d):
     """To each vertex of the query set from its farthest caller within six steps."""
-    g = graph(spark, d)
+    g = lean(spark, d)
     up = traverse.bfs(g.edges, wanted(g), "up", 6)
     far = up.groupBy(F.col("seed").alias("end")).agg(F.min_by("ord", F.struct(-F.col("hop"), F.col("ord"))).alias("start"))
     return traverse.shortest_paths(g, far)
@@ -112,7 +123,7 @@ def shortest_path_all(spark, d):
 
 @query(None)
 def changed_nodes_all(spark, d):
-    g = graph(spark, d)
+    g = lean(spark, d)
     return diff.changed_nodes(g.nodes, g.nodes.join(wanted(g), "ord").select("file")).select("ord")
 
 
@@ -130,4 +141,65 @@ def slice_budget_all(spark, d):
     return budget.slice_contexts(g, scores(spark, d), wanted(g), 4000)
 
 
+# ------------------------------------------------------------- changes and audits, as deep as the operators go by themselves
+
+BLAST = [("w.hop < 3", "w.hop < 5"), ("x.hop < 3", "x.hop < 5")]
+AUDIT = [("len(p.path) < 6", "len(p.path) < 8")]
+
+
+def blast(spark, d) -> diff.BlastRadius:
+    """The change of all files with a vertex of the query set."""
+    g = lean(spark, d)
+    return diff.BlastRadius(g, diff.changed_nodes(g.nodes, g.nodes.join(wanted(g), "ord").select("file")))
+
+
+@query(WANTED, *BLAST)
+def blast_radius_all(spark, d):
+    return blast(spark, d).summary()
+
+
+@query(WANTED, *BLAST)
+def files_to_update_all(spark, d):
+    return blast(spark, d).files_to_update()
+
+
+@query(WANTED, *BLAST)
+def entrypoints_affected_all(spark, d):
+    return blast(spark, d).entrypoints()
+
+
+@query(WANTED, *BLAST)
+def risk_check_all(spark, d):
+    return blast(spark, d).check().select("affected_nodes", "entrypoints", "indirect_callers", "risky")
+
+
+@query(WANTED, *BLAST)
+def guard_all(spark, d):
+    return diff.guard(blast(spark, d), lookup.detail(code_graph(spark, d), scores(spark, d)))
+
+
+@query(WANTED, *AUDIT)
+def audit_paths_all(spark, d):
+    g = lean(spark, d)
+    return audit.audit_paths(g, wanted(g)).withColumn("trace", F.array_join(F.col("trace").cast("array<string>"), ">"))
+
+
+@query(WANTED, *AUDIT)
+def audit_summary_all(spark, d):
+    g = lean(spark, d)
+    return audit.audit_summary(g, audit.audit_paths(g, wanted(g)))
+
+
+@query(WANTED, *AUDIT)
+def audit_named_all(spark, d):
+    g = lean(spark, d)
+    return audit.named_paths(g, audit.audit_paths(g, wanted(g)))
+
+
+@query(WANTED, ("w.hop < 5", "w.hop < 8"))
+def sensitive_reach_all(spark, d):
+    g = lean(spark, d)
+    return audit.sensitive_reach(g, wanted(g))
+
+
 QUERIES, ORACLE = Q, S

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from symgraph.operators import budget, traverse
 from symgraph.plans import adapters, registry, whole_queries
 
-#: A chain 101 > 102 > ... > 112, a hub 7, and vertices at random.
-HUB, CHAIN = 7, list(range(101, 113))
+#: A chain 101 > 102 > ... > 107 > 60, a hub 7, and vertices at random.
+HUB, CHAIN = 7, list(range(101, 108))
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def tables(spark, tmp_path_factory):
     ords = [*range(1, 91), *CHAIN]
     pairs = [(o, HUB) for o in range(10, 50)] + list(zip(CHAIN, CHAIN[1:])) + [(rng.randint(1, 90), rng.randint(1, 90)) for _ in range(90)] + [(CHAIN[-1], 60)]
     kinds = ["calls" if i % 7 or i < 60 else "imports" for i in range(len(pairs))]
-    name = lambda o: f"db_{o}" if o % 9 == 0 else f"n{o % 50}"
+    name = lambda o: f"db_{o}" if o % 9 == 0 or o in (101, 102) else f"n{o % 50}"
     nodes = [(o, f"id{o}", name(o), f"q.n{o}", "function", f"f{o // 3}.rs", o, o + o % 9, f"fn n{o}()", "public", False, False, False, None, []) for o in ords]
     cols = "ord long, id string, name string, qualified_name string, kind string, file string, line_start int, line_end int, signature string"
     spark.createDataFrame(nodes, cols + ", visibility string, is_async boolean, is_static boolean, is_exported boolean, docstring string, refs array<string>").write.parquet(f"{at}/nodes.parquet")
@@ -105,5 +105,37 @@ def test_paths_and_slices_are_those_of_one_vertex(spark, tables):
     assert reason == "token_budget" and [(r.ord, r.reason) for r in few] == [(r["ord"], reason) for r in kept]
 
 
+def test_audits_and_changes_go_as_deep_as_the_operators(spark, tables):
+    calls = {p for p, k in tables[2] if k == "calls"}
+    called, ways = {b for _, b in calls}, []
+
+    def up(path):
+        if path[-1] not in called:
+            ways.append(path[::-1])
+        if len(path) < 8:
+            for a, b in calls:
+                if b == path[-1] and a not in path:
+                    up([*path, a])
+
+    for o in wanted(tables):
+        up([o])
+    got = rows(spark, tables, "audit_paths_all")
+    assert sorted(r[2] for r in got) == sorted(">".join(map(str, w)) for w in ways) and ">".join(map(str, [*CHAIN, 60])) in {r[2] for r in got if r[4] == "low"}
+    assert rows(spark, tables, "audit_summary_all")[0][3] == sum(len(w) > 6 for w in ways) > 0
+    assert len(rows(spark, tables, "audit_named_all")) == len(ways)
+    near = {(s, o, h) for s in wanted(tables) for o, h in walk(tables, s, "up", 8).items() if h and tables[3][o][2].startswith("db_")}
+    assert sorted(rows(spark, tables, "sensitive_reach_all")) == sorted(near) and (60, 101, 7) in near
+    files = {tables[3][o][5] for o in wanted(tables)}
+    changed = [o for o in tables[1] if tables[3][o][5] in files]
+    pairs = {(d, o, h) for s in changed for d in ("up", "down") for o, h in walk(tables, s, d, 5).items() if h}
+    hit = {o for _, o, _ in pairs}
+    entries = hit - {b for (a, b), _ in tables[2] if a != b}
+    summary = (len(changed), len({o for d, o, h in pairs if d == "up" and h == 1}), len({o for d, o, h in pairs if d == "up" and h > 1}), len(hit), len({tables[3][o][5] for o in hit}), len(entries))
+    assert rows(spark, tables, "blast_radius_all")[0][:6] == summary and any(h > 3 for *_, h in pairs)
+    assert {r[0] for r in rows(spark, tables, "files_to_update_all")} == {tables[3][o][5] for o in hit} - files
+    assert {r[0] for r in rows(spark, tables, "entrypoints_affected_all")} == {tables[3][o][1] for o in entries}
+    assert rows(spark, tables, "risk_check_all")[0][:3] == (summary[3], summary[5], summary[2]) and rows(spark, tables, "guard_all")[0][0] == (summary[3] > 25)
+
+
 def test_sql_differs_only_in_its_seeds():
     assert set(whole_queries.S) <= set(registry.oracle_sql()) and all("LIMIT 5)" not in s.split("v AS MATERIALIZED")[0] and "HAVING count(*) = 3" not in s for s in whole_queries.S.values())
