@@ -71,7 +71,7 @@ _OCR = str.maketrans("015", "ols")
 
 
 #: What every template part has somewhere: a text in which this is not found needs no search for them.
-_TRIGGER = re.compile(r"[{<$@%|«]|\*\*|__|[XDTY]{2}[./-]|[xdty]{2}[./-]|[Yy]{4}|[\[(〔【]\s*[^\W\d]|\[\[")
+_TRIGGER = re.compile(r"[{<$@%|«\[(〔【]|\*\*|__|[XDTYxdty]{2}[./-]|[Yy]{4}")
 
 
 def plain(text: str) -> str:
