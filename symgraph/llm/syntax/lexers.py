@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
 END = "$end"
 
@@ -226,43 +227,65 @@ def _c_kind(kind: str, value: str):
 _DIRECTIVE = re.compile(r"^[ \t]*(?:#|%:)[ \t]*(\w*)((?:[^\n\\]|\\[\s\S])*)", re.M)
 
 
-def _directives(text: str) -> tuple[str, int]:
-    """The text without preprocessor lines and without the branches after the first of each condition; where a condition is not closed or opened, or -1."""
+def _directives(text: str) -> tuple[list[tuple[str, tuple]], list[tuple[str, int]], int]:
+    """The text without preprocessor lines, in pieces with the branches ``(condition, position)`` they stand in; per condition its wording and the branch to be read unless another is asked for; where a condition is not closed or opened, or -1."""
     plain = re.compile(r"//(?:[^\\\n]|\\[\s\S])*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'|^[ \t]*(?:#|%:)(?:[^\n\\/]|\\[\s\S]|/(?!\*)|/\*[\s\S]*?\*/)*", re.M)
-    out, pos, stack = [], 0, []
-    dropping = lambda: any(d for d, _ in stack)
+    out, pos, stack, conditions = [], 0, [], []
     for m in plain.finditer(text):
         if m.group().lstrip()[:1] not in ("#", "%"):
             continue
-        piece = text[pos : m.start()]
-        out.append(re.sub(r"[^\n]", " ", piece) if dropping() else piece)
-        out.append("\n" * m.group().count("\n"))
+        out += [(text[pos : m.start()], tuple(stack)), ("\n" * m.group().count("\n"), ())]
         pos = m.end()
         word = (_DIRECTIVE.match(m.group()) or [None, ""])[1]
         if word in ("if", "ifdef", "ifndef"):
             zero = word == "if" and re.match(r"\s*(?:#|%:)\s*if\s+0\s*(?://.*|/\*.*)?$", m.group())
-            stack.append((bool(zero), not zero))
+            stack.append((len(conditions), 0))
+            conditions.append((f"0 {len(conditions)}", 1) if zero else (" ".join(m.group().split()), 0))
         elif word in ("elif", "else", "elifdef", "elifndef"):
             if not stack:
-                return "".join(out), m.start()
-            _, taken = stack.pop()
-            stack.append((taken, True))
+                return out, conditions, m.start()
+            condition, branch = stack.pop()
+            stack.append((condition, branch + 1))
         elif word == "endif":
             if not stack:
-                return "".join(out), m.start()
+                return out, conditions, m.start()
             stack.pop()
         elif word and word not in ("include", "include_next", "define", "undef", "line", "error", "warning", "pragma", "import", "ident", "embed") and not word.isdigit():
-            return "".join(out), m.start()
-    out.append(text[pos:])
-    return "".join(out), len(text) if stack else -1
+            return out, conditions, m.start()
+    out.append((text[pos:], tuple(stack)))
+    return out, conditions, len(text) if stack else -1
+
+
+def _readings(pieces: list[tuple[str, tuple]], conditions: list[tuple[str, int]]) -> Iterator[str]:
+    """The text by the first branch of each condition, then by others until each branch has been read once. Conditions of one wording go the same way."""
+    asked: dict[str, int] = {}
+    left = dict.fromkeys(at for _, at in pieces if at)
+    while True:
+        way = [asked.get(wording, first) for wording, first in conditions]
+        yield "".join(piece if all(way[c] == k for c, k in at) else re.sub(r"[^\n]", " ", piece) for piece, at in pieces)
+        left = [at for at in left if not all(way[c] == k for c, k in at)]
+        asked = {}
+        for at in left:
+            need = dict(asked)
+            if all(need.setdefault(conditions[c][0], k) == k and (k or not conditions[c][1]) for c, k in at):
+                asked = need
+        if not asked:  # what is left stands below "#if 0" or contradicts itself
+            return
 
 
 def c(text: str) -> list[tuple]:
+    return next(c_readings(text))
+
+
+def c_readings(text: str) -> Iterator[list[tuple]]:
+    """The tokens by each reading of the preprocessor's conditions."""
     text = normal(text)
-    kept, wrong = _directives(text)
+    pieces, conditions, wrong = _directives(text)
     if wrong >= 0:
-        return [("ERROR", Lines(text).at(min(wrong, len(text) - 1)), True), (END, 1, True)]
-    return _scan(kept, _C, _c_kind)
+        yield [("ERROR", Lines(text).at(min(wrong, len(text) - 1)), True), (END, 1, True)]
+        return
+    for kept in _readings(pieces, conditions):
+        yield _scan(kept, _C, _c_kind)
 
 
 JAVA_WORDS = frozenset(

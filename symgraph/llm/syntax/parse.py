@@ -63,11 +63,15 @@ def parser(language: str, made=None) -> Parser:
 
 
 def first_error(text: str | None, language: str, p: Parser) -> int:
-    """The line of the first unrecoverable error, 0 if the text is a program of the language. A null text is none."""
+    """The line of the first unrecoverable error, 0 if the text is a program of the language. A null text is none; C must be one by every reading of its conditions."""
     if text is None:
         return 1
-    tokens = LEXERS[language](text)
-    if len(tokens) == 1:
-        return 1 if language in NEVER_EMPTY else 0
-    at = p.run(tokens)
-    return 0 if at < 0 else tokens[at][1]
+    for tokens in lexers.c_readings(text) if language == "c" else [LEXERS[language](text)]:
+        if len(tokens) == 1:
+            if language in NEVER_EMPTY:
+                return 1
+            continue
+        at = p.run(tokens)
+        if at >= 0:
+            return tokens[at][1]
+    return 0

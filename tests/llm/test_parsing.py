@@ -69,6 +69,16 @@ def test_valid_and_invalid(language):
     assert parse.first_error(None, language, p) == 1
 
 
+def test_every_branch_of_c_is_parsed():
+    p = parse.parser("c")
+    bad = {"#if A\nint x;\n#else\nint y = ;\n#endif\n": 4, "#ifdef A\nint x;\n#elif B\nint y;\n#else\n<<<<<<< a\n#endif\n": 6, "#ifndef H\n#define H\n#if A\n#else\n#if B\nint f( {\n#else\nint y;\n#endif\n#endif\n#endif\n": 6, "#if 0\n?\n#elif A\nint x;\n#else\nint f() {\n#endif\n": 7}
+    for text, line in bad.items():
+        assert parse.first_error(text, "c", p) == line, text
+    same = "int f() {\n#if A\nif (x) {\n#else\n{\n#endif\ny();\n#ifdef Q\nz();\n#endif\n#if A\n}\n#else\n}\n#endif\n}\n"
+    for text in (same, "#if A\nint f(int a) {\n#endif\n#if A\n}\n#else\nint y;\n#endif\n", "#if 0\n? (\n#endif\nint x;\n", "#if A\nint x;\n#else\n#if A\n? (\n#endif\n#endif\n"):
+        assert parse.first_error(text, "c", p) == 0, text
+
+
 def test_line_of_error():
     assert parse.first_error("x = 1\n\ny = = 2\n", "python", parse.parser("python")) == 3
     assert parse.first_error("package a\nfunc f() {\n", "go", parse.parser("go")) == 2
