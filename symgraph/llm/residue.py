@@ -1,16 +1,22 @@
 """Documents with template residue, filler, error messages or demands for scripts in place of content.
 
-Texts are read in passage windows: sentences of a line, where a quotation
+Texts are read in passage windows: the sentences of a line, where a quotation
 belongs whole to its sentence. Labelled exemplars are retrieved for a window
-through an inverted index and compared by TF-IDF containment, both ways: the
-share of the exemplar's weight found in the window and the share of the
-window's weight that the exemplar covers. A window that an exemplar covers
-highly stands for residue; a sentence that merely quotes or mentions such words
-is covered little. Unfilled template parts count wherever they stand, unless
-the window is nearer to the exemplars that speak about them.
-
-The document frequencies behind the weights are those of the exemplars' terms
-over the whole corpus.
+through an inverted index over their heaviest terms and compared by TF-IDF
+containment, both ways: the share of an exemplar's weight that is found in the
+window, and the share of the window's weight that the exemplars found cover. A
+window that is covered highly stands for residue; a sentence that merely quotes
+or mentions such words is covered little.
+
+The brackets of template parts are windows of their own. The syntax of template
+engines is a term by its shape; what other brackets hold is compared, by the
+same containment, with exemplars of field names and of demands to fill in. A
+part does not count in a sentence whose other words speak of placeholders.
+
+Weights come from the document frequencies of all terms of the corpus. They no
+longer rise below a frequency of ``RARE``, so only the terms above it, of which
+there are at most (distinct terms of a document on average) / ``RARE``, are
+brought to the tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -29,49 +35,46 @@ from pyspark.sql import functions as F
 from symgraph.llm import residue_exemplars as X
 from symgraph.session import spread
 
-#: Least shares of an exemplar found in a window, and of a window covered by an exemplar.
-RECALL, COVER, WORDS_COVER, MENTION_RECALL = 0.6, 0.6, 0.75, 0.4
-#: The fewest words that filler in free order must have.
-LEAST_WORDS = 3
+#: Least share of an exemplar found in a window, and of a window covered by exemplars.
+RECALL, COVER = 0.6, 0.6
+#: The same for filler whose words come in any order: its cover alone counts.
+WORDS_COVER = 0.75
+#: A part does not count if words about placeholders, two at least, have this share of the weight of the rest of its sentence.
+MENTION_SHARE = 0.2
 #: A sentence with so many words outside its quotations only mentions what it quotes.
 LEAST_OUTSIDE = 4
-#: The weight of words that no exemplar has: that of a word in 1 % of all documents.
-OTHER = -math.log(0.01)
-MARK = "⟪mark⟫"
+#: Filler in free order must weigh so many times as much as the rarest word: less may be words of another language.
+LEAST_FILLER = 1.5
+#: Words in a smaller share of the documents, which no exemplar has either, are left out when filler in free order is weighed.
+FAMILIAR = 0.02
+#: A window of one word, repeated so often, is filler.
+REPEATED = 3
+#: Rarer terms weigh no more than one in this share of all documents.
+RARE = 0.005
+#: Letters of a word that count: endings are cut off.
+STEM = 6
 
 _CJK = "぀-ヿ㐀-鿿가-힣"
-_INNER = r"[^\W_](?:[^\n{}<>|\[\]]{0,60}?[^\s{}<>|\[\]])??"
-#: Brackets that stand for template parts by themselves, if a name is inside.
-_STRONG = re.compile(
-    "|".join(
-        [
-            r"\{\{[#/^>&]?\s*(?:[\w]{3,}[\w .:-]*|this)\s*\}\}",
-            r"\{%-?\s*\w{3,}[\w .:-]*-?%\}",
-            r"<%[=-]?\s*\w{3,}[\w .:-]*%>",
-            r"\[%[=-]?\s*\w{3,}[\w .:-]*%\]",
-            r"<\?(?:=|php)\s*\$?\w{3,}[\w .:-]*\?>",
-            r"[$#]\{\s*\w{3,}[\w .:-]*\}",
-            r"\{\$\w{3,}[\w .:-]*\}",
-            r"\[\[\s*\w{3,}[\w .:-]*\]\]",
-            r"<<\s*\w{3,}[\w .:-]*>>",
-            r"@@\s*\w{3,}[\w .:-]*@@",
-            r"%%\s*\w{3,}[\w .:-]*%%",
-            r"\*\*\s*[\w .]{3,60}?\b(?:MISSING|TO BE (?:ADDED|FILLED|COMPLETED)|TBD|FEHLT)\s*\*\*",
-            r"[\[(〔【<](?:(?:please )?(?:insert|enter|fill in|add)\b[^\[\]()\n]{3,50}|(?:your|the) [^\[\]()\n]{2,40} here|TBD\b[^\[\]()\n]{0,40}|to be (?:added|filled|completed|defined|determined)[^\[\]()\n]{0,30})[\])〕】>]",
-            r"[\[(〔【<](?:[^\[\]()\n]{0,40}(?:einfügen|ergänzen|ausfüllen|eintragen|à compléter|à remplir|por completar|por rellenar|記入|待填|填写|填入|기입|입력)[^\[\]()\n]{0,8}|(?:insérer|rellenar|insertar|completar) [^\[\]()\n]{2,40})[\])〕】>]",
-            r"\b(?:XX[./-]XX[./-]XXXX|DD[./-]MM[./-]YYYY|TT\.MM\.JJJJ|YYYY-MM-DD)\b",
-        ]
-    ),
+_WORD = re.compile(rf"[{_CJK}]+|[^\W_]+")
+_OCR = str.maketrans("015", "ols")
+_ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x180)) if len(d := unicodedata.normalize("NFKD", c)) > 1 and d[0].isalpha() and d[0].isascii() and c.islower())
+_BARE = "".join(unicodedata.normalize("NFKD", c)[0] for c in _ACCENTED)
+
+#: Brackets of template engines, by which a part with a name inside is known whatever the name; and date masks.
+_NAME = r"\s*[#/^>&!$=*-]{0,2}\s*(?=[\w .:'\-]*?[^\W\d_]{2})\w[\w .:'\-]*?"
+_ENGINE = [("{{ name }}", r"\{\{", r"\}\}"), ("{% name %}", r"\{%", r"%\}"), ("<% name %>", r"<%", r"%>"), ("[% name %]", r"\[%", r"%\]"), ("<? name ?>", r"<\?(?:=|php)?", r"\?>"), ("${ name }", r"\$\{", r"\}"), ("#{ name }", r"#\{", r"\}"),
+    ("{$ name }", r"\{\$", r"\}"), ("[[ name ]]", r"\[\[", r"\]\]"), ("<< name >>", r"<<", r">>"), ("@@ name @@", r"@@", r"@@"), ("%% name %%", r"%%", r"%%"), ("« MERGEFIELD name »", r"«\s*MERGEFIELD\b", r"»")]
+_PART = re.compile(
+    "|".join(f"(?P<e{i}>{a}{_NAME}\\s*{b})" for i, (_, a, b) in enumerate(_ENGINE))
+    + r"|(?P<mask>\b[DMYJTAX]{2,4}(?P<sep>[./-])[DMYJTAX]{2,4}(?P=sep)[DMYJTAX]{2,4}\b)"
+    + r"|(?P<open>[\[<{|$«%]|__|\*\*)(?P<inner>[^\n\[\]<>{}|$«»%]+?)(?:[\]>}|$»%]|__|\*\*)"
+    + r"|[(〔【](?P<round>[^\n()〔〕【】]+)[)〕】]",
     re.I,
 )
-#: Brackets that do so only around the name of a template's field.
-_WEAK = re.compile(r"\|([^|\n]{3,40})\||\$([^$\n]{3,40})\$|«([^»\n]{3,40})»|<([^<>\n]{3,40})>|\[([^\[\]\n]{3,40})\]|__([^\n]{3,40}?)__|\{([^{}\n]{3,40})\}|%([^%\n]{3,40})%")
-_TOKEN = re.compile(rf"{MARK}|[{_CJK}]+|[^\W_]+")
-_OCR = str.maketrans("015", "ols")
-
-
-#: What every template part has somewhere: a text in which this is not found needs no search for them.
-_TRIGGER = re.compile(r"[{<$@%|«\[(〔【]|\*\*|__|[XDTYxdty]{2}[./-]|[Yy]{4}")
+#: What every part has somewhere.
+_TRIGGER = re.compile(r"[{<$@%|«\[(〔【]|\*\*|__|[DMYJTAXdmyjtax]{2}[./-]")
+_ELEMENT = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>\n]*)?/?>")
+_CAMEL = re.compile(r"(?<=[^\W\d_])_?\d+$|(?<=[a-z])(?=[A-Z])|_")
 
 
 def plain(text: str) -> str:
@@ -82,49 +85,25 @@ def plain(text: str) -> str:
     return unicodedata.normalize("NFC", marks).lower()
 
 
-def _name(inner: str) -> str:
-    words = re.findall(r"[^\W_]+", plain(inner))
-    if len(words) > 1 and words[-1].isdigit():
-        words = words[:-1]
-    return " ".join(w if w.isalpha() else w.translate(_OCR) for w in words)
-
-
-@lru_cache(maxsize=1)
-def _fields() -> frozenset[str]:
-    words = plain(X.FIELDS).split()
-    return frozenset(" ".join(words[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(words) - n + 1))
-
-
-def mark(text: str) -> str:
-    """The text with each unfilled template part written as one term. HTML elements and formulas are none."""
-    if not _TRIGGER.search(text):
-        return text
-    text = _STRONG.sub(f" {MARK} ", text)
-
-    def weak(m: re.Match) -> str:
-        inner = next(g for g in m.groups() if g is not None)
-        tag = m.group(4) is not None
-        if tag and re.search(rf"</\s*{re.escape(inner)}\s*>", text, re.I):
-            return m.group(0)
-        known = re.fullmatch(r"[\w .:-]+", inner) and _name(inner) in _fields()
-        return f" {MARK} " if known else m.group(0)
-
-    return _WEAK.sub(weak, text)
-
-
 def terms(text: str) -> list[str]:
-    """Words without accents, figures left out; pairs of characters of Chinese, Japanese and Korean runs; template parts."""
+    """Words without accents and endings, figures left out; pairs of characters of Chinese, Japanese and Korean runs."""
     out = []
-    for t in _TOKEN.findall(plain(text)):
-        if "぀" <= t[0] <= "힣" and t != MARK:
+    for t in _WORD.findall(plain(text)):
+        if "぀" <= t[0] <= "힣":
             out += [t[i : i + 2] for i in range(len(t) - 1)] or [t]
-        elif t == MARK or t.isalpha():
-            out.append(t)
+        elif t.isalpha():
+            out.append(t[:STEM])
         elif not t.isdigit():
-            out.append(t.translate(_OCR))
+            out.append(t.translate(_OCR)[:STEM])
     return out
 
 
+def part_terms(inner: str) -> list[str]:
+    """The words of a template part; a number that stands alone is a word that no exemplar has."""
+    words = [w for piece in inner.split() for w in _CAMEL.sub(" ", piece).split()]
+    return [t for w in words for t in (["#"] if w.isdigit() else terms(w))]
+
+
 _QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^」\n]*」|『[^』\n]*』')
 _QUOTES = '"“„«「『'
 _END = re.compile(rf"[.!?](?=\s|[{_CJK}])|[。！？]")
@@ -146,85 +125,142 @@ def windows(text: str) -> Iterator[str]:
             yield line[begin:]
 
 
+Family = tuple[str, str]
+
+
+def families() -> list[Family]:
+    """Kind and pattern of every family of exemplars."""
+    groups = {"error": X.ERROR, "script": X.SCRIPT, "filler": X.FILLER, "words": X.FILLER_WORDS, "name": X.NAMES, "demand": X.DEMANDS, "shape": X.SHAPES, "repeat": X.REPEATS}
+    return [(kind, f) for kind, fs in groups.items() for f in fs]
+
+
+@lru_cache(maxsize=1)
+def _mention() -> frozenset[str]:
+    return frozenset(terms(X.MENTION))
+
+
 class Exemplars:
     """The inverted index of the labelled exemplars, with weights from the corpus."""
 
-    def __init__(self, df: dict[str, int], n: int):
-        self.weight = {t: math.log((n + 1) / (df.get(t, 0) + 0.5)) for t in vocabulary()}
-        self.weight = {t: max(w, 0.05) for t, w in self.weight.items()}
+    def __init__(self, df: dict[str, int], n: int, keep: Callable[[Family], bool] = lambda f: True):
+        """``df`` holds the document frequencies of the terms of ``RARE`` and above; ``keep`` chooses families, for held-out tests."""
+        least = RARE * n
+        self.heaviest = max(math.log((n + 1) / (least + 0.5)), 0.05)
+        self.weight = {t: max(math.log((n + 1) / (max(k, least) + 0.5)), 0.05) for t, k in df.items()}
+        self.familiar = frozenset(t for t, k in df.items() if k >= FAMILIAR * n)
         self.kinds: list[str] = []
         self.terms: list[frozenset[str]] = []
         self.total: list[float] = []
         self.index: dict[str, list[int]] = defaultdict(list)
-        for kind, text in labelled():
-            ts = frozenset(text)
-            i = len(self.terms)
+        known: dict[tuple[str, frozenset[str]], None] = {}
+        for kind, family in filter(keep, families()):
+            for text in [family] if kind in ("words", "shape", "repeat") else X.expand(family):
+                ts = frozenset([text]) if kind == "repeat" else frozenset([text.replace("-", "/").replace(".", "/").upper() if "{" not in text and "name" not in text else text]) if kind == "shape" else frozenset(part_terms(text) if kind in ("name", "demand") else terms(text))
+                if ts:
+                    known[kind, ts] = None
+        for i, (kind, ts) in enumerate(known):
             self.kinds.append(kind)
             self.terms.append(ts)
-            self.total.append(sum(self.weight[t] for t in ts))
+            self.total.append(sum(map(self.weigh, ts)))
             # an exemplar of which a share is found has one of its heaviest terms found: those that hold more than the rest may miss
-            least, seen = (WORDS_COVER if kind == "words" else RECALL if kind != "mention" else MENTION_RECALL), 0.0
-            for t in sorted(ts, key=lambda t: (-self.weight[t], t)):
+            seen = 0.0
+            for t in sorted(ts, key=lambda t: (-self.weigh(t), t)):
                 self.index[t].append(i)
-                seen += self.weight[t]
-                if kind != "words" and seen > (1 - least) * self.total[i] + 1e-9:
+                seen += self.weigh(t)
+                if kind != "words" and seen > (1 - RECALL) * self.total[i] + 1e-9:
                     break
-
-    def kind(self, window: str) -> str | None:
-        """The kind of residue in a window, or None."""
-        marked = mark(window)
-        words = terms(marked)
-        index = self.index
-        if MARK not in words and not any(t in index for t in words):
-            return None
-        tf = Counter(words)
-        outside = terms(_QUOTED.sub(" ", marked)) if any(q in marked for q in _QUOTES) else words
-        if LEAST_OUTSIDE <= len(outside) < len(words):  # a sentence that quotes: only what it says itself counts
-            tf = Counter(outside)
-        met = {i for t in tf for i in index.get(t, ())}
-        if not met and MARK not in tf:
+        #: the terms of all exemplars of a kind: a window of which they do not cover enough needs no retrieval
+        self.vocabulary = {kind: frozenset(t for k, ts in known if k == kind for t in ts) for kind in dict.fromkeys(k for k, _ in known)}
+        self.known = frozenset().union(*self.vocabulary.values())
+        prose = ("error", "script", "filler", "words")
+        self.first = frozenset(t for t, ids in self.index.items() if any(self.kinds[i] in prose for i in ids))
+
+    def weigh(self, term: str) -> float:
+        return self.weight.get(term, self.heaviest)
+
+    def contained(self, tf: dict[str, int], kinds: tuple[str, ...]) -> str | None:
+        """The kind of the exemplars that are found in a window and cover it, if any."""
+        weights = {t: n * self.weigh(t) for t, n in tf.items()}
+        whole = dict.fromkeys(kinds, sum(weights.values()))
+        if "words" in kinds:  # filler is full of words that no one knows: they speak neither for it nor against
+            whole["words"] = sum(w for t, w in weights.items() if t in self.familiar or t in self.known)
+        kinds = tuple(k for k in kinds if k in self.vocabulary and sum(w for t, w in weights.items() if t in self.vocabulary[k]) >= (WORDS_COVER if k == "words" else COVER) * whole[k])
+        if not kinds:
             return None
-        weight = self.weight
-        whole = sum(n * weight.get(t, OTHER) for t, n in tf.items())
-        best, mention = None, 0.0
-        for i in met:
+        met: dict[str, set[str]] = {}
+        for i in {i for t in tf for i in self.index.get(t, ()) if self.kinds[i] in kinds}:
             ts = self.terms[i]
-            recall = sum(weight[t] for t in ts if t in tf) / self.total[i]
-            if self.kinds[i] == "mention":
-                other = sum(weight[t] for t in ts if t in tf and t != MARK) / max(self.total[i] - (weight[MARK] if MARK in ts else 0), 1e-9)
-                mention = max(mention, other)
-                continue
-            cover = sum(n * weight[t] for t, n in tf.items() if t in ts) / whole
-            if self.kinds[i] == "words":
-                if cover >= WORDS_COVER and sum(tf.values()) >= LEAST_WORDS:
-                    best = "filler"
-            elif recall >= RECALL and cover >= COVER:
-                best = best or self.kinds[i]
-        if MARK in tf and mention < MENTION_RECALL:
-            return "template"
-        return best
-
-
-@lru_cache(maxsize=1)
-def labelled() -> list[tuple[str, list[str]]]:
-    groups = [("error", X.ERROR), ("script", X.SCRIPT), ("filler", X.FILLER), ("words", X.FILLER_WORDS), ("mention", [m.replace("MARK", f" {MARK} ") for m in X.MENTION])]
-    return [(kind, t) for kind, texts in groups for text in texts if (t := terms(text))]
-
-
-@lru_cache(maxsize=1)
-def vocabulary() -> frozenset[str]:
-    return frozenset(t for _, text in labelled() for t in text) | {MARK}
+            found = [t for t in ts if t in tf]
+            if self.kinds[i] == "words" or sum(map(self.weigh, found)) >= RECALL * self.total[i]:
+                met.setdefault(self.kinds[i], set()).update(found)
+        best: tuple[float, str] | None = None
+        for kind, found in met.items():
+            weight = sum(weights[t] for t in found)
+            cover = weight / whole[kind]
+            if cover >= WORDS_COVER and weight >= LEAST_FILLER * self.heaviest if kind == "words" else cover >= COVER:
+                best = max(best or (cover, kind), (cover, kind))
+        return best[1] if best else None
+
+    def is_part(self, m: re.Match, text: str) -> bool:
+        """Whether brackets are an unfilled template part."""
+        got = m.groupdict()
+        if got["mask"]:
+            return self.contained({re.sub(r"[.-]", "/", got["mask"]).upper(): 1}, ("shape",)) is not None
+        for i, (shape, *_) in enumerate(_ENGINE):
+            if got[f"e{i}"]:
+                return self.contained({shape: 1}, ("shape",)) is not None
+        inner = got["inner"] or got["round"]
+        if got["open"] == "<" and re.search(rf"</\s*{re.escape(inner)}\s*>", text, re.I):
+            return False
+        words = part_terms(inner)
+        return bool(words) and self.contained(Counter(words), ("demand",) if got["round"] else ("name", "demand")) is not None
+
+    def kind(self, window: str, text: str | None = None) -> str | None:
+        """The kind of residue in a window of ``text``, or None."""
+        said = window
+        if any(q in window for q in _QUOTES):
+            outside = _QUOTED.sub(" ", window)
+            if LEAST_OUTSIDE <= len(terms(outside)) < len(terms(window)):  # a sentence that quotes: only what it says itself counts
+                said = outside
+        if _TRIGGER.search(said):
+            parts = [m for m in _PART.finditer(said) if self.is_part(m, text or window)]
+            if parts:
+                rest = said
+                for m in reversed(parts):
+                    rest = rest[: m.start()] + " " + rest[m.end() :]
+                tf = Counter(terms(rest))
+                spoken = _mention().intersection(tf)
+                if len(spoken) < 2 or sum(map(self.weigh, spoken)) < MENTION_SHARE * sum(map(self.weigh, tf)):
+                    return "template"
+        tf = Counter(terms(_ELEMENT.sub(" ", said) if "<" in said else said))
+        if len(tf) == 1 and sum(tf.values()) >= REPEATED:
+            tf = {"word word word": 1}
+            return "filler" if self.contained(tf, ("repeat",)) else None
+        if not tf or self.first.isdisjoint(tf):
+            return None
+        got = self.contained(tf, ("error", "script", "filler", "words"))
+        return "filler" if got == "words" else got
+
+    def residue(self, text: str) -> Iterator[tuple[str, str]]:
+        """Kind and window of each residue of a text."""
+        for line in text.splitlines():
+            words = terms(line)
+            if not self.first.isdisjoint(words) or _TRIGGER.search(line) or len(words) != len(set(words)):
+                for w in windows(line):
+                    kind = self.kind(w, text)
+                    if kind:
+                        yield kind, w
 
 
-def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of the exemplars' terms only, so a task returns at most as many rows as the exemplars have terms."""
-    df, n, known = Counter(), 0, vocabulary()
-    for b in batches:
-        n += len(b)
-        for text in b["text"]:
-            if text:
-                df.update(known.intersection(terms(mark(text))))
-    yield pd.DataFrame([("", n), *df.items()], columns=["term", "df"])
+def document_frequencies(texts: DataFrame) -> tuple[dict[str, int], int]:
+    """Of the column ``text``: the terms in at least ``RARE`` of the documents with their number, and the number of documents."""
+    t = F.translate(F.lower("text"), _ACCENTED, _BARE)
+    words = F.regexp_extract_all(t, F.lit(rf"([a-z]{{1,{STEM}}})[a-z]*"), F.lit(1))
+    pairs = F.regexp_extract_all(t, F.lit(rf"(?=([{_CJK}]{{2}}))"), F.lit(1))
+    pairs = F.when(F.regexp_like(t, F.lit(f"[{_CJK}]")), pairs).otherwise(F.array().cast("array<string>"))
+    n = texts.count()
+    counts = texts.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.concat(words, pairs))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return {r["term"]: r["df"] for r in counts.where(F.col("df") >= RARE * n).collect()}, n  # bounded as said above
 
 
 def _scan(index: Exemplars):
@@ -233,10 +269,8 @@ def _scan(index: Exemplars):
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 kinds: dict[str, list] = {}
-                for w in windows(text or ""):
-                    kind = index.kind(w)
-                    if kind:
-                        kinds.setdefault(kind, [0, w.strip()[:200]])[0] += 1
+                for kind, w in index.residue(text or ""):
+                    kinds.setdefault(kind, [0, w.strip()[:200]])[0] += 1
                 out += [(doc_id, kind, n, first) for kind, (n, first) in kinds.items()]
             yield pd.DataFrame(out, columns=["doc_id", "kind", "windows", "example"])
 
@@ -249,10 +283,13 @@ def find_residue(documents: DataFrame) -> DataFrame:
     Kinds are ``template``, ``filler``, ``error`` and ``script``. Whole texts are
     read. Null, empty and blank texts have no residue. Repeated rows of a
     document come out as often as they come in. Two passes over the texts: one
-    counts the document frequencies of the exemplars' terms, one scans.
+    counts the document frequencies of all terms, one scans.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     d = spread(documents.select("doc_id", "text"))
-    counts = d.select("text").mapInPandas(_frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    df = {r["term"]: r["df"] for r in counts.collect()}  # a row per term of the exemplars
-    return d.mapInPandas(_scan(Exemplars(df, df.pop("", 0))), f"doc_id {kind}, kind string, windows long, example string")
+    index = d.sparkSession.sparkContext.broadcast(Exemplars(*document_frequencies(d.select("text"))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _scan(index.value)(batches)
+
+    return d.mapInPandas(run, f"doc_id {kind}, kind string, windows long, example string")
