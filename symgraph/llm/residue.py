@@ -54,8 +54,13 @@ RARE = 0.005
 #: Letters of a word that count: endings are cut off.
 STEM = 6
 
+#: The kinds of exemplars that windows of prose are compared with; ``words`` is filler in free order.
+PROSE = ("error", "script", "filler", "words")
+
 _CJK = "぀-ヿ㐀-鿿가-힣"
 _WORD = re.compile(rf"[{_CJK}]+|[^\W_]+")
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
+_MARKS = re.compile("[\u0300-\u036f]+")
 _OCR = str.maketrans("015", "ols")
 _ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x180)) if len(d := unicodedata.normalize("NFKD", c)) > 1 and d[0].isalpha() and d[0].isascii() and c.islower())
 _BARE = "".join(unicodedata.normalize("NFKD", c)[0] for c in _ACCENTED)
@@ -71,8 +76,8 @@ _PART = re.compile(
     + r"|[(〔【](?P<round>[^\n()〔〕【】]+)[)〕】]",
     re.I,
 )
-#: What every part has somewhere.
-_TRIGGER = re.compile(r"[{<$@%|«\[(〔【]|\*\*|__|[DMYJTAXdmyjtax]{2}[./-]")
+#: What every part has somewhere; figures alone in brackets are none.
+_TRIGGER = re.compile(r"[{<$@%|«]|[\[(〔【](?!\d*[\])〕】])|\*\*|__|[DMYJTAXdmyjtax]{2}[./-]")
 _ELEMENT = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>\n]*)?/?>")
 _CAMEL = re.compile(r"(?<=[^\W\d_])_?\d+$|(?<=[a-z])(?=[A-Z])|_")
 
@@ -81,14 +86,19 @@ def plain(text: str) -> str:
     """Lower case without accents; Hangul stays whole."""
     if text.isascii():
         return text.lower()
-    marks = "".join(c for c in unicodedata.normalize("NFKD", text) if not "̀" <= c <= "ͯ")
-    return unicodedata.normalize("NFC", marks).lower()
+    return unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFKD", text))).lower()
 
 
-def terms(text: str) -> list[str]:
-    """Words without accents and endings, figures left out; pairs of characters of Chinese, Japanese and Korean runs."""
+def plain_terms(text: str) -> list[str]:
+    """:func:`terms` of a text that is plain already."""
+    if text.isascii():
+        words = _ASCII_WORD.findall(text)
+        out = [t[:STEM] for t in words if t.isalpha()]
+        if len(out) < len(words):
+            out += [t.translate(_OCR)[:STEM] for t in words if not t.isalpha() and not t.isdigit()]
+        return out
     out = []
-    for t in _WORD.findall(plain(text)):
+    for t in _WORD.findall(text):
         if "぀" <= t[0] <= "힣":
             out += [t[i : i + 2] for i in range(len(t) - 1)] or [t]
         elif t.isalpha():
@@ -98,6 +108,11 @@ def terms(text: str) -> list[str]:
     return out
 
 
+def terms(text: str) -> list[str]:
+    """Words without accents and endings, figures left out; pairs of characters of Chinese, Japanese and Korean runs."""
+    return plain_terms(plain(text))
+
+
 def part_terms(inner: str) -> list[str]:
     """The words of a template part; a number that stands alone is a word that no exemplar has."""
     words = [w for piece in inner.split() for w in _CAMEL.sub(" ", piece).split()]
@@ -105,7 +120,7 @@ def part_terms(inner: str) -> list[str]:
 
 
 _QUOTED = re.compile(r'"[^"\n]*"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^」\n]*」|『[^』\n]*』')
-_QUOTES = '"“„«「『'
+_QUOTES = re.compile('["“„«「『]')
 _END = re.compile(rf"[.!?](?=\s|[{_CJK}])|[。！？]")
 
 
@@ -114,7 +129,7 @@ def windows(text: str) -> Iterator[str]:
     for line in text.splitlines():
         if not line.strip():
             continue
-        held = [(m.start(), m.end()) for m in _QUOTED.finditer(line)] if any(q in line for q in _QUOTES) else []
+        held = [(m.start(), m.end()) for m in _QUOTED.finditer(line)] if _QUOTES.search(line) else []
         begin = 0
         for m in _END.finditer(line):
             if any(a < m.start() < b - 1 for a, b in held):
@@ -172,18 +187,25 @@ class Exemplars:
         #: the terms of all exemplars of a kind: a window of which they do not cover enough needs no retrieval
         self.vocabulary = {kind: frozenset(t for k, ts in known if k == kind for t in ts) for kind in dict.fromkeys(k for k, _ in known)}
         self.known = frozenset().union(*self.vocabulary.values())
-        prose = ("error", "script", "filler", "words")
-        self.first = frozenset(t for t, ids in self.index.items() if any(self.kinds[i] in prose for i in ids))
+        self.first = frozenset(t for t, ids in self.index.items() if any(self.kinds[i] in PROSE for i in ids))
 
     def weigh(self, term: str) -> float:
         return self.weight.get(term, self.heaviest)
 
     def contained(self, tf: dict[str, int], kinds: tuple[str, ...]) -> str | None:
         """The kind of the exemplars that are found in a window and cover it, if any."""
-        weights = {t: n * self.weigh(t) for t, n in tf.items()}
-        whole = dict.fromkeys(kinds, sum(weights.values()))
-        if "words" in kinds:  # filler is full of words that no one knows: they speak neither for it nor against
-            whole["words"] = sum(w for t, w in weights.items() if t in self.familiar or t in self.known)
+        weigh, rare, weights, all_, known, familiar = self.weight.get, self.heaviest, {}, 0.0, 0.0, 0.0
+        for t, n in tf.items():
+            w = weights[t] = n * weigh(t, rare)
+            all_ += w
+            if t in self.known:
+                known += w
+            elif t in self.familiar:
+                familiar += w
+        if known < COVER * all_ and known < WORDS_COVER * (known + familiar):
+            return None
+        # filler is full of words that no one knows: they speak neither for it nor against
+        whole = {k: known + familiar if k == "words" else all_ for k in kinds}
         kinds = tuple(k for k in kinds if k in self.vocabulary and sum(w for t, w in weights.items() if t in self.vocabulary[k]) >= (WORDS_COVER if k == "words" else COVER) * whole[k])
         if not kinds:
             return None
@@ -215,41 +237,59 @@ class Exemplars:
         words = part_terms(inner)
         return bool(words) and self.contained(Counter(words), ("demand",) if got["round"] else ("name", "demand")) is not None
 
-    def kind(self, window: str, text: str | None = None) -> str | None:
-        """The kind of residue in a window of ``text``, or None."""
-        said = window
-        if any(q in window for q in _QUOTES):
-            outside = _QUOTED.sub(" ", window)
-            if LEAST_OUTSIDE <= len(terms(outside)) < len(terms(window)):  # a sentence that quotes: only what it says itself counts
-                said = outside
-        if _TRIGGER.search(said):
-            parts = [m for m in _PART.finditer(said) if self.is_part(m, text or window)]
-            if parts:
-                rest = said
-                for m in reversed(parts):
-                    rest = rest[: m.start()] + " " + rest[m.end() :]
-                tf = Counter(terms(rest))
-                spoken = _mention().intersection(tf)
-                if len(spoken) < 2 or sum(map(self.weigh, spoken)) < MENTION_SHARE * sum(map(self.weigh, tf)):
-                    return "template"
-        tf = Counter(terms(_ELEMENT.sub(" ", said) if "<" in said else said))
-        if len(tf) == 1 and sum(tf.values()) >= REPEATED:
-            tf = {"word word word": 1}
-            return "filler" if self.contained(tf, ("repeat",)) else None
-        if not tf or self.first.isdisjoint(tf):
+    def has_part(self, window: str, text: str) -> bool:
+        """Whether a window of ``text`` has an unfilled template part, and is not about placeholders itself."""
+        parts = [m for m in _PART.finditer(window) if self.is_part(m, text)]
+        if not parts:
+            return False
+        rest = window
+        for m in reversed(parts):
+            rest = rest[: m.start()] + " " + rest[m.end() :]
+        tf = Counter(terms(rest))
+        spoken = _mention().intersection(tf)
+        return len(spoken) < 2 or sum(map(self.weigh, spoken)) < MENTION_SHARE * sum(map(self.weigh, tf))
+
+    def prose(self, window: str, words: list[str] | None = None) -> str | None:
+        """The kind of residue that the words of a window show, or None; the window is plain text."""
+        words = plain_terms(window) if words is None else words
+        distinct = set(words)
+        if len(words) >= REPEATED and len(distinct) == 1:
+            return "filler" if self.contained(Counter([X.REPEATS[0]]), ("repeat",)) else None
+        if self.first.isdisjoint(distinct):
             return None
-        got = self.contained(tf, ("error", "script", "filler", "words"))
+        if _QUOTES.search(window) or "<" in window:
+            words = plain_terms(_ELEMENT.sub(" ", outside(window)))
+        got = self.contained(Counter(words), PROSE)
         return "filler" if got == "words" else got
 
+    def kind(self, window: str, text: str | None = None) -> str | None:
+        """The kind of residue in a window of ``text``, or None."""
+        said = outside(window)
+        if _TRIGGER.search(said) and self.has_part(said, text or window):
+            return "template"
+        return self.prose(plain(window))
+
     def residue(self, text: str) -> Iterator[tuple[str, str]]:
         """Kind and window of each residue of a text."""
-        for line in text.splitlines():
-            words = terms(line)
-            if not self.first.isdisjoint(words) or _TRIGGER.search(line) or len(words) != len(set(words)):
-                for w in windows(line):
-                    kind = self.kind(w, text)
-                    if kind:
-                        yield kind, w
+        if _TRIGGER.search(text):
+            for w in windows(text):
+                if _TRIGGER.search(w) and _TRIGGER.search(said := outside(w)) and self.has_part(said, text):
+                    yield "template", w
+        first = self.first
+        for w in windows(plain(text)):
+            words = plain_terms(w)
+            if not first.isdisjoint(words) or len(words) != len(set(words)):
+                kind = self.prose(w, words)
+                if kind:
+                    yield kind, w
+
+
+def outside(window: str) -> str:
+    """What a sentence that quotes says itself, if that is enough words; else the sentence."""
+    if not _QUOTES.search(window):
+        return window
+    rest = _QUOTED.sub(" ", window)
+    return rest if LEAST_OUTSIDE <= len(terms(rest)) < len(terms(window)) else window
 
 
 def document_frequencies(texts: DataFrame) -> tuple[dict[str, int], int]:
