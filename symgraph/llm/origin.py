@@ -43,7 +43,7 @@ PARTS = 3
 ROUNDS = 3
 EPOCHS = 6
 #: How far above the median a file without a giveaway must score to be found, in robust standard deviations.
-OUTLYING = 5.5
+OUTLYING = 5.0
 COST, POSITIVE_COST = 0.5, 3.0
 KINDS = ("generated", "minified", "third_party", "data")
 
