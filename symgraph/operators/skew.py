@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from symgraph.session import checkpoint
+
 #: Bits of a value that one level of the percentile search resolves: a key has
 #: at most 2**16 blocks on a level.
 RADIX_BITS = 16
@@ -92,12 +94,13 @@ def heavy_keys(weighted: DataFrame, share: float) -> DataFrame:
     return key_stats(known).where(F.col("n_rows") >= F.lit(share) * total.scalar())
 
 
-def hot_groups(df: DataFrame, key: Column, rows_per_task: int, most: int = 10_000) -> DataFrame:
-    """``key, salts``: the groups too large for one task, and into how many subgroups each is to be hashed.
-
-    A group counts as hot above ``max(rows_per_task, rows / most)`` rows, so
-    there are never more than ``most`` hot groups and the result may be broadcast.
-    """
+def hot_groups(df: DataFrame, key: Column, rows_per_task: int) -> DataFrame:
+    """``key, salts``: the groups of more than ``rows_per_task`` rows, and into how many subgroups each is to be hashed."""
     counts = df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    limit = F.greatest(F.lit(rows_per_task), F.ceil(counts.agg(F.sum("n")).scalar() / F.lit(most)))
-    return counts.where(F.col("n") > limit).select("key", F.ceil(F.col("n") / F.lit(rows_per_task)).cast("int").alias("salts"))
+    return counts.where(F.col("n") > rows_per_task).select("key", F.ceil(F.col("n") / F.lit(rows_per_task)).cast("int").alias("salts"))
+
+
+def sized_join(small: DataFrame, most: int = 10_000) -> DataFrame:
+    """``small`` written once, and marked for broadcast if it has at most ``most`` rows; else it is joined by a shuffle, whose skew Spark splits as it runs."""
+    small = checkpoint(small)
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small

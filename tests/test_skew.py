@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from symgraph.operators.skew import heavy_keys, hot_groups, key_percentiles, key_stats, key_sums, weighted_values
+from symgraph.operators.skew import heavy_keys, hot_groups, key_percentiles, key_stats, key_sums, sized_join, weighted_values
 
 
 def rows(spark, data):
@@ -56,4 +56,6 @@ def test_empty(spark):
 def test_hot_groups_are_bounded(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 300)).alias("k"))
     assert [tuple(r) for r in hot_groups(df, F.col("k"), 100).collect()] == [("hot", 4)]
-    assert hot_groups(df, F.col("k"), 1, most=5).count() <= 5
+    hot = hot_groups(df, F.col("k"), 1)
+    left = df.join(sized_join(hot), F.col("k").eqNullSafe(F.col("key")), "left").count()
+    assert left == df.join(sized_join(hot, most=0), F.col("k").eqNullSafe(F.col("key")), "left").count() == df.count()
