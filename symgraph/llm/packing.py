@@ -2,16 +2,18 @@
 
 The lengths of all items form one global histogram of bounded size. Dynamic
 programming chooses the bucket boundaries that minimise padding (the sum, over
-all items, of bucket bound less length). Inside a slice and bucket, items of
-nearly equal length form batches up to the slice's token budget; the batches
-that stay underfilled are taken apart, and their items are laid best-fit
-decreasing into the room of the slice. Slices with very many items are hashed
-into subgroups of bounded size which are packed on their own.
+all items, of bucket bound less length). Inside a slice, windows are the
+token-budget batches of a bucket: it takes its items into a batch as long as
+the room left holds the bucket's bound, and a batch that is done with its
+bucket goes on to the largest bucket whose bound it still holds. What a batch
+loses is what the bounds exceed the lengths by, the padding that the dynamic
+program minimises. Slices with very many items are hashed into subgroups of
+bounded size which are packed on their own.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.llm.groups import whole_groups
-from symgraph.operators.skew import hot_groups
+from symgraph.operators.skew import hot_groups, sized_join
 from symgraph.session import partitions
 
-BUCKETS = 16
+BUCKETS = 64
 #: Lengths up to this are counted one by one, longer ones in 128 steps an octave: under 3,400 bins for any INT.
 EXACT_LENGTHS, STEPS = 512, 7
+#: Rows of a subgroup, which a task holds as a whole; a subgroup's last windows are all that cutting up a slice can cost.
 ROWS_PER_GROUP = 20_000
-#: A batch with at most this share of its capacity unused is left as it is.
-SLACK = 0.02
 
 
 def length_bin(length: Column) -> Column:
@@ -73,34 +74,28 @@ def pack_group(lengths: np.ndarray, capacity: int, bounds: np.ndarray) -> np.nda
     window = np.zeros(len(lengths), np.int64)
     sized = np.flatnonzero(lengths > 0)
     bucket = np.searchsorted(bounds, lengths[sized])
-    order = sized[np.lexsort((-lengths[sized], -bucket))]
-    length, buckets = lengths.tolist(), dict(zip(sized.tolist(), bucket.tolist()))
-    full, loose, batch, used, last = [], [], [], 0, None
-
-    def close() -> None:
-        (full.append(batch) if capacity - used <= SLACK * capacity else loose.extend(batch))
-
-    for i in order.tolist():
-        if batch and (buckets[i] != last or used + length[i] > capacity):
-            close()
-            batch, used = [], 0
-        batch.append(i)
-        used += length[i]
-        last = buckets[i]
-    if batch:
-        close()
-    for w, items in enumerate(full):
-        window[items] = w
-    n, room = len(full), []
-    for i in sorted(loose, key=lambda i: -length[i]):
-        at = bisect_left(room, (length[i], -1))
-        if at < len(room):
-            free, w = room.pop(at)
+    order = np.lexsort((-lengths[sized], -bucket))
+    limits, placed, room = bounds.tolist(), [], []
+    # the open batches by the largest bucket whose bound they hold, and a bit for each bucket that has any
+    batches: list[list[int]] = [[] for _ in limits]
+    any_ = 0
+    for j, length in zip(bucket[order].tolist(), lengths[sized][order].tolist()):
+        fits = any_ >> j
+        if fits:
+            at = j + (fits & -fits).bit_length() - 1  # the least room that holds the bucket's bound
+            w = batches[at].pop()
+            if not batches[at]:
+                any_ ^= 1 << at
         else:
-            free, w, n = capacity, n, n + 1
-        window[i] = w
-        if free > length[i]:
-            insort(room, (free - length[i], w))
+            w = len(room)
+            room.append(capacity)
+        room[w] -= length
+        at = bisect_right(limits, room[w]) - 1
+        if at >= 0:
+            batches[at].append(w)
+            any_ |= 1 << at
+        placed.append(w)
+    window[sized[order]] = placed
     return window
 
 
@@ -108,27 +103,32 @@ PACKED = "slice_id long, item_no long, capacity long, window_no long, windows lo
 
 
 def _pack(bounds: np.ndarray):
+    names = [c.split()[0] for c in PACKED.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, cuts in whole_groups(batches, ["slice_id", "salt"]):
-            out = []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                g = frame.iloc[lo:hi]
-                no, tokens = g["item_no"].to_numpy(), g["tokens"].to_numpy()
+            col = {c: frame[c].to_numpy() for c in ("slice_id", "item_no", "tokens", "capacity", "salts", "salt")}
+            lost = pd.isna(col["item_no"])
+            out: list[tuple] = []
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                no, tokens, null = col["item_no"][lo:hi], col["tokens"][lo:hi], lost[lo:hi]
                 if hi - lo > 1:  # repeated rows lie together, the largest estimate first
-                    first = np.r_[True, ~((no[1:] == no[:-1]) | (pd.isna(no[1:]) & pd.isna(no[:-1])))]
+                    first = np.r_[True, ~((no[1:] == no[:-1]) | (null[1:] & null[:-1]))]
                     no, tokens = no[first], tokens[first]
-                capacity, salts, salt = (int(g[x].iloc[0]) for x in ("capacity", "salts", "salt"))
+                capacity, salts, salt = int(col["capacity"][lo]), int(col["salts"][lo]), int(col["salt"][lo])
                 whole, over = tokens // capacity, tokens > capacity
                 whole[~over] = 0
-                window = pack_group(tokens - whole * capacity, capacity, bounds)
-                n = int(window.max()) + 1 if (tokens > whole * capacity).any() or not over.any() else 0
+                rest = tokens - whole * capacity
+                window = pack_group(rest, capacity, bounds)
+                laid = ~over | (rest > 0)
+                n = int(window.max()) + 1 if laid.any() else 0
                 first_full = n + np.cumsum(whole) - whole
-                rest = ~over | (tokens > whole * capacity)
-                for pick, at, count, amount in ((rest, window, np.ones_like(whole), tokens - whole * capacity), (over, first_full, whole, whole * capacity)):
+                for pick, at, count, amount in ((laid, window, np.ones_like(whole), rest), (over, first_full, whole, whole * capacity)):
                     if pick.any():
-                        out.append(pd.DataFrame({"slice_id": g["slice_id"].iloc[0], "item_no": no[pick], "capacity": capacity, "window_no": at[pick] * salts + salt, "windows": count[pick], "tokens": amount[pick], "oversize": over[pick]}))
+                        k = int(pick.sum())
+                        out.append((np.full(k, col["slice_id"][lo]), no[pick], np.full(k, capacity), at[pick] * salts + salt, count[pick], amount[pick], over[pick]))
             if out:
-                yield pd.concat(out, ignore_index=True)
+                yield pd.DataFrame({name: np.concatenate([o[i] for o in out]) for i, name in enumerate(names)})
 
     return run
 
@@ -152,9 +152,10 @@ def pack_items(items: DataFrame, slices: DataFrame, buckets: int = BUCKETS) -> D
     i = items.select(F.col("slice_id").cast("long").alias("slice_id"), F.col("item_no").cast("long").alias("item_no"), F.greatest(F.coalesce(F.col("token_estimate").cast("long"), F.lit(0)), F.lit(0)).alias("tokens"))
     hot = hot_groups(i, F.col("slice_id"), ROWS_PER_GROUP).where("key IS NOT NULL")
     s = slices.groupBy(F.col("slice_id").cast("long").alias("slice_id")).agg(F.max(F.col("max_tokens").cast("long")).alias("capacity"), F.lit(True).alias("there"))
-    s = s.join(F.broadcast(hot), F.col("slice_id") == F.col("key"), "left").select("slice_id", "capacity", "there", F.coalesce("salts", F.lit(1)).alias("salts"))
+    hot = sized_join(hot)
+    s = s.join(hot, F.col("slice_id") == F.col("key"), "left").select("slice_id", "capacity", "there", F.coalesce("salts", F.lit(1)).alias("salts"))
     s = s.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    i = i.join(F.broadcast(hot), F.col("slice_id") == F.col("key"), "left").withColumn("salt", F.pmod(F.xxhash64("item_no"), F.coalesce("salts", F.lit(1))).cast("int")).drop("key", "salts")
+    i = i.join(hot, F.col("slice_id") == F.col("key"), "left").withColumn("salt", F.pmod(F.xxhash64("item_no"), F.coalesce("salts", F.lit(1))).cast("int")).drop("key", "salts")
     i = i.repartition(partitions(items.sparkSession), "slice_id", "salt").join(s, ["slice_id", "salt"], "left")
     limited = i.where("capacity > 0")
     piece = F.when(F.col("tokens") > F.col("capacity"), F.col("tokens") % F.col("capacity")).otherwise(F.col("tokens"))

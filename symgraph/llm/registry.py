@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from symgraph.llm.bpe import encode_corpus
 from symgraph.llm.mixing import Mixture
 from symgraph.llm.origin import fit_classifiers, not_hand_written
-from symgraph.llm.packing import pack_items
+from symgraph.llm.packing import BUCKETS, pack_items
 from symgraph.llm.parsing import invalid_files, invalid_rates
 from symgraph.llm.residue import find_residue
 from symgraph.llm.topk import top_n
@@ -30,11 +30,24 @@ def p1_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per capacity: windows, tokens and the share of their room that is used."""
+    """Per capacity: slices, items, tokens, the fewest windows that could do, and whether no more than 1.1 times as many were needed."""
     p = packed(spark, sf_dir).where("capacity IS NOT NULL")
-    w = p.groupBy("capacity", "slice_id", "window_no").agg(F.max("windows").alias("windows"), F.sum("tokens").alias("tokens"))
-    out = w.groupBy("capacity").agg(F.sum("windows").alias("windows"), F.sum("tokens").alias("tokens"))
-    return out.withColumn("fill", F.col("tokens") / (F.col("windows") * F.col("capacity")))
+    items = p.groupBy("capacity", "slice_id", "item_no").agg(F.sum("tokens").alias("tokens"))
+    s = items.groupBy("capacity", "slice_id").agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").alias("tokens"))
+    w = p.groupBy("capacity", "slice_id", "window_no").agg(F.max("windows").alias("n")).groupBy("capacity", "slice_id").agg(F.sum("n").alias("windows"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity"))).cast("long")
+    out = s.join(w, ["capacity", "slice_id"]).groupBy("capacity").agg(F.count(F.lit(1)).alias("slices"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.sum(least).alias("lower_bound"), F.sum("windows").alias("windows"))
+    return out.withColumn("within", F.col("windows") <= 1.1 * F.col("lower_bound")).drop("windows")
+
+
+def p1_windows_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows needed by the buckets of the dynamic program, with a single bucket, and at the very least."""
+    def used(buckets: int) -> int:
+        p = pack_items(table(spark, sf_dir, "context_nodes"), table(spark, sf_dir, "context_slices"), buckets).where("capacity IS NOT NULL")
+        return p.groupBy("slice_id", "window_no").agg(F.max("windows").alias("n")).agg(F.sum("n")).first()[0] or 0
+
+    least = p1_fill(spark, sf_dir).agg(F.sum("lower_bound")).first()[0] or 0
+    return spark.createDataFrame([(used(BUCKETS), used(1), least)], "windows long, one_bucket long, lower_bound long")
 
 
 def p3_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +117,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_windows": p1_windows,
     "p1_fill": p1_fill,
+    "p1_windows_used": p1_windows_used,
     "p3_found": p3_found,
     "p3_top": p3_top,
     "p4_found": p4_found,
@@ -130,6 +144,12 @@ ORACLE = {
         SELECT DISTINCT n.slice_id, n.item_no FROM context_nodes n JOIN context_slices s USING (slice_id)
         WHERE s.max_tokens > 0 AND n.token_estimate > s.max_tokens
     """,
+    "p1_fill": """
+        WITH i AS (SELECT slice_id, item_no, max(greatest(coalesce(token_estimate, 0), 0)) AS t FROM context_nodes GROUP BY 1, 2),
+        s AS (SELECT slice_id, CAST(max(max_tokens) AS BIGINT) AS capacity FROM context_slices GROUP BY 1),
+        p AS (SELECT capacity, slice_id, count(*) AS n, CAST(sum(t) AS BIGINT) AS tokens FROM i JOIN s USING (slice_id) WHERE capacity > 0 GROUP BY 1, 2)
+        SELECT capacity, count(*) AS slices, CAST(sum(n) AS BIGINT) AS items, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(greatest(1, (tokens + capacity - 1) // capacity)) AS BIGINT) AS lower_bound, true AS within FROM p GROUP BY 1
+    """,
     "p3_found": _TOP + "SELECT file, ord FROM r WHERE rank <= 5",
     "p3_top": _TOP + "SELECT file, ord, score, rank FROM r WHERE rank <= 5",
 }

@@ -92,6 +92,16 @@ def test_bins_hold_their_lengths(spark):
     assert all(r.id <= r.b <= r.id * 1.02 + 1 for r in rows) and len({r.b for r in rows}) < 2000
 
 
+def test_buckets_decide_the_fill():
+    """With the program's bounds hardly more windows are needed than at least; with one bucket many more."""
+    rng = np.random.default_rng(9)
+    lengths = np.minimum(1 + rng.exponential(150, 5000).astype(int), 1000)
+    bins, counts = np.unique(lengths, return_counts=True)
+    least = -(-lengths.sum() // 1000)
+    used = [pack_group(lengths, 1000, optimal_bounds(bins, counts, k)).max() + 1 for k in (1, 4, 64)]
+    assert used[2] <= 1.02 * least and used[1] < used[0] / 2 and used[0] == 5000
+
+
 def test_group_uses_room():
     window = pack_group(np.array([60, 40, 50, 50, 0, 30, 70]), 100, np.array([40, 70]))
     assert max(np.bincount(window)) and window.max() == 2

@@ -8,9 +8,9 @@ from symgraph.llm.topk import top_n
 SCHEMA = "g string, id long, s double, salt string, rank string, grp int"
 
 
-def run(spark, data, n=3, per=100_000):
+def run(spark, data, n=3, subgroups=None):
     df = spark.createDataFrame([(*r, "x", None, 1) for r in data], SCHEMA)
-    return sorted((r.grp or "", r["rank"], r.ident, r.score) for r in top_n(df, F.col("g"), F.col("s"), F.col("id"), n, per).collect())
+    return sorted((r.grp or "", r["rank"], r.ident, r.score) for r in top_n(df, F.col("g"), F.col("s"), F.col("id"), n, subgroups).collect())
 
 
 def brute(data, n=3):
@@ -26,7 +26,9 @@ def test_against_brute_force_with_hot_group(spark):
     data = [(rng.choice(["hot", "hot", None, f"g{rng.randrange(50)}"]), rng.choice([rng.randrange(400), None]), rng.choice([None, math.nan, math.inf, -0.5, 1.0, 2.0])) for _ in range(4000)]
     data += data[:100]
     assert run(spark, data) == brute(data)
-    assert run(spark, data, per=50) == brute(data)  # hot groups in many subgroups
+    for subgroups in (1, 50, 100_000):
+        assert run(spark, data, subgroups=subgroups) == brute(data)
+    assert run(spark, data, n=0) == []
 
 
 def test_empty(spark):
