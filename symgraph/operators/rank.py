@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions.predicates import is_test_rank
 from symgraph.schema import CodeGraph
-from symgraph.session import checkpoint
+from symgraph.session import checkpoint, partitions
 
 DAMPING, ROUNDS, EPSILON = 0.85, 20, 1e-9
 #: Rounds between checkpoints and tests of convergence.
@@ -37,7 +37,8 @@ def centrality(graph: CodeGraph, rounds: int = ROUNDS, damping: float = DAMPING,
     base = (1 - damping) / n
     # a row from each vertex to itself carries its share; so a round reads the scores once and shuffles once
     own = graph.nodes.select(F.col("ord").alias("src"), F.col("ord").alias("dst"), F.lit(None).cast("double").alias("w"))
-    w = call_weights(graph).unionAll(own).persist()
+    # laid by the giving vertex once: a round moves nothing but what flows, added up by receiver first
+    w = checkpoint(call_weights(graph).unionAll(own).repartition(partitions(graph.nodes.sparkSession), "src"))
 
     def flow(s: DataFrame) -> DataFrame:
         """The next scores, and those before as ``prev``."""
@@ -61,7 +62,6 @@ def centrality(graph: CodeGraph, rounds: int = ROUNDS, damping: float = DAMPING,
         r = s.agg(F.max("score").alias("top"), F.max(F.abs(F.col("score") - F.col("prev"))).alias("moved")).first()
         if r["moved"] < EPSILON:
             break
-    w.unpersist()
     top = r["top"] if rounds > 0 else 1.0
     return s.select("ord", (F.col("score") / F.lit(top if top and top > 0 else 1.0)).alias("score"))
 

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.schema import CodeGraph
-from symgraph.session import checkpoint
+from symgraph.session import checkpoint, partitions
+
+#: A frontier of at most so many rows (a few numbers and a short word each) is brought to the edges, else both are shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -37,18 +40,22 @@ def bfs_each(edges: DataFrame, seeds: DataFrame, directions: list[str], max_dept
     """:func:`bfs` in several directions apart, in the same rounds; with ``direction``."""
     ways = [steps(edges, d).withColumn("direction", F.lit(d)) for d in directions]
     # parallel and repeated steps do not matter here; each pair of ends is kept with its smallest kind
-    way = checkpoint(reduce(DataFrame.unionAll, ways).groupBy("direction", "at", "to").agg(F.min("kind").alias("kind")))
+    # laid by where a step begins, so that no level moves the edges again
+    way = reduce(DataFrame.unionAll, ways).repartition(partitions(edges.sparkSession), "direction", "at")
+    way = checkpoint(way.groupBy("direction", "at", "to").agg(F.min("kind").alias("kind")))
     start = seeds.select(F.explode(F.array(*[F.lit(d) for d in directions])).alias("direction"), F.col("ord").alias("seed"), "ord", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("entry_edge"))
     front = checkpoint(start.distinct())
-    levels, depth, key = [front], 0, ["direction", "seed", "to"]
+    levels, depth, key, n = [front], 0, ["direction", "seed", "to"], front.count()
     while not max_depth or depth < max_depth:
         depth += 1
         seen = reduce(DataFrame.unionAll, levels).select("direction", "seed", F.col("ord").alias("to"))
         first = F.coalesce("entry_edge", "kind")
-        nexts = front.withColumnRenamed("ord", "at").join(way, ["direction", "at"]).groupBy(*key).agg(F.min(F.struct("at", first.alias("edge")))["edge"].alias("entry_edge"))
+        near = front if n > BROADCAST_ROWS else F.broadcast(front)
+        nexts = near.withColumnRenamed("ord", "at").join(way, ["direction", "at"]).groupBy(*key).agg(F.min(F.struct("at", first.alias("edge")))["edge"].alias("entry_edge"))
         nexts = nexts.join(seen, key, "left_anti")
         front = checkpoint(nexts.select("direction", "seed", F.col("to").alias("ord"), F.lit(depth).alias("hop"), "entry_edge"))
-        if front.isEmpty():
+        n = front.count()
+        if not n:
             break
         levels.append(front)
     return reduce(DataFrame.unionAll, levels)

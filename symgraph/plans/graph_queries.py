@@ -23,13 +23,20 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("ord").agg(F.max("score").alias("score"))
 
 
-def seeds(g: CodeGraph, n: int = 5) -> DataFrame:
-    """The first vertices with exactly three calls to them."""
-    three = g.calls().groupBy(F.col("dst").alias("ord")).agg(F.count(F.lit(1)).alias("n")).where("n = 3")
-    return three.orderBy("ord").limit(n).select("ord")
+def lean(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """The graph for walks, written once with the columns that they read."""
+    g = code_graph(spark, sf_dir)
+    return CodeGraph(checkpoint(g.nodes.select("ord", "id", "name", "file")), checkpoint(g.edges.select("src", "dst", "kind")))
+
+
+def wanted(g: CodeGraph) -> DataFrame:
+    """The query set of the walks: every vertex with a number divisible by 20, and the one with most calls to it."""
+    hot = g.calls().groupBy(F.col("dst").alias("ord")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ord").limit(1)
+    return g.nodes.where("ord % 20 = 0").select("ord").unionAll(hot.select("ord")).distinct()
 
 
-SEEDS = "seeds AS (SELECT dst AS ord FROM e WHERE kind = 'calls' GROUP BY dst HAVING count(*) = 3 ORDER BY dst LIMIT 5)"
+ALL = "seeds AS (SELECT ord FROM v)"
+SEEDS = "seeds AS (SELECT ord FROM v WHERE ord % 20 = 0 UNION (SELECT dst FROM e WHERE kind = 'calls' GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1))"
 SCORES = "sc AS (SELECT ord, max(score) AS score FROM scored_nodes WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ord)"
 
 Q, S = {}, {}
@@ -131,46 +138,44 @@ def degree_counts(spark, d):
     return lookup.degrees(code_graph(spark, d))
 
 
-@query(with_graph("SELECT s.ord AS of_ord, v.ord, v.name FROM seeds s JOIN e ON e.dst = s.ord AND e.kind = 'calls' JOIN v ON v.ord = e.src", SEEDS))
+@query(with_graph("SELECT s.ord AS of_ord, v.ord, v.name FROM seeds s JOIN e ON e.dst = s.ord AND e.kind = 'calls' JOIN v ON v.ord = e.src", ALL))
 def callers(spark, d):
     g = code_graph(spark, d)
-    return lookup.callers(g, seeds(g)).select("of_ord", "ord", "name")
+    return lookup.callers(g, g.nodes.select("ord")).select("of_ord", "ord", "name")
 
 
-@query(with_graph("SELECT s.ord AS of_ord, v.ord, v.name FROM seeds s JOIN e ON e.src = s.ord AND e.kind = 'calls' JOIN v ON v.ord = e.dst", SEEDS))
+@query(with_graph("SELECT s.ord AS of_ord, v.ord, v.name FROM seeds s JOIN e ON e.src = s.ord AND e.kind = 'calls' JOIN v ON v.ord = e.dst", ALL))
 def callees(spark, d):
     g = code_graph(spark, d)
-    return lookup.callees(g, seeds(g)).select("of_ord", "ord", "name")
-
-
-SYMBOLS = "sy AS (SELECT row_number() OVER (ORDER BY symbol) - 1 AS pos, symbol FROM (SELECT min(id) AS symbol FROM v UNION ALL SELECT max(name) FROM v UNION ALL SELECT min(name) FROM v UNION ALL SELECT '?none'))"
+    return lookup.callees(g, g.nodes.select("ord")).select("of_ord", "ord", "name")
 
 
 @query(
     with_graph(
-        """SELECT pos, symbol, coalesce(a, b) AS ord FROM (SELECT pos, symbol, (SELECT max(ord) FROM v WHERE id = symbol) AS a, (SELECT min(ord) FROM v WHERE name = symbol) AS b FROM sy)
-        WHERE a IS NOT NULL OR b IS NOT NULL""",
-        SYMBOLS,
+        """SELECT pos, symbol, coalesce(a, b) AS ord FROM (SELECT symbol, min(ord) AS pos FROM (SELECT ord, id AS symbol FROM v UNION ALL SELECT ord, name FROM v) GROUP BY 1)
+        LEFT JOIN (SELECT id, max(ord) AS a FROM v GROUP BY 1) i ON i.id = symbol LEFT JOIN (SELECT name, min(ord) AS b FROM v GROUP BY 1) n ON n.name = symbol"""
     )
 )
 def batch_query(spark, d):
-    g = code_graph(spark, d)
-    r = g.nodes.agg(F.min("id").alias("a"), F.max("name").alias("b"), F.min("name").alias("c")).first()
-    wanted = spark.createDataFrame(list(enumerate(sorted([*r, "?none"]))), "pos long, symbol string")
-    return lookup.batch_query(g, wanted)
+    """Every id and name of the graph, and one that is unknown; a symbol's ``pos`` is its least vertex."""
+    g = graph(spark, d)
+    symbols = g.nodes.select("ord", F.explode(F.array("id", "name")).alias("symbol")).groupBy("symbol").agg(F.min("ord").alias("pos"))
+    unknown = spark.createDataFrame([(-1, "?none")], "pos long, symbol string")
+    return lookup.batch_query(g, symbols.select("pos", "symbol").unionAll(unknown))
 
 
-@query(
-    with_graph(
-        """SELECT s.ord,
-        coalesce((SELECT string_agg(name, ',' ORDER BY ord, name) FROM (SELECT v.ord, v.name FROM e JOIN v ON v.ord = e.src WHERE e.dst = s.ord AND e.kind = 'calls' ORDER BY 1, 2 LIMIT 5)), '') AS callers,
-        coalesce((SELECT string_agg(name, ',' ORDER BY ord, name) FROM (SELECT v.ord, v.name FROM e JOIN v ON v.ord = e.dst WHERE e.src = s.ord AND e.kind = 'calls' ORDER BY 1, 2 LIMIT 5)), '') AS callees FROM seeds s""",
-        SEEDS,
-    )
-)
+NEIGHBOURS = """
+    k AS (SELECT e.dst AS a, v.ord, v.name, row_number() OVER (PARTITION BY e.dst ORDER BY v.ord, v.name) AS k FROM e JOIN v ON v.ord = e.src WHERE e.kind = 'calls'),
+    l AS (SELECT e.src AS a, v.ord, v.name, row_number() OVER (PARTITION BY e.src ORDER BY v.ord, v.name) AS k FROM e JOIN v ON v.ord = e.dst WHERE e.kind = 'calls'),
+    kk AS (SELECT a, string_agg(name, ',' ORDER BY k) AS callers FROM k WHERE k <= 5 GROUP BY 1), ll AS (SELECT a, string_agg(name, ',' ORDER BY k) AS callees FROM l WHERE k <= 5 GROUP BY 1)
+"""
+
+
+@query(with_graph("SELECT v.ord, coalesce(callers, '') AS callers, coalesce(callees, '') AS callees FROM v LEFT JOIN kk ON kk.a = v.ord LEFT JOIN ll ON ll.a = v.ord", NEIGHBOURS))
 def explain_symbols(spark, d):
-    g = code_graph(spark, d)
-    return lookup.first_neighbours(g, seeds(g))
+    """The first five callers and callees of every vertex."""
+    g = graph(spark, d)
+    return lookup.first_neighbours(g, g.nodes.select("ord"))
 
 
 # ------------------------------------------------------------- search
@@ -257,20 +262,20 @@ SEV = "CASE WHEN hop <= 1 THEN 'direct' WHEN hop <= 3 THEN 'transitive' ELSE 'di
 
 @query(with_graph("SELECT seed, ord, hop FROM up WHERE hop > 0", f"{SEEDS}, {UP}", recursive=True))
 def dependents(spark, d):
-    g = graph(spark, d)
-    return traverse.dependents(g, seeds(g), 5)
+    g = lean(spark, d)
+    return traverse.dependents(g, wanted(g), 5)
 
 
 @query(with_graph(f"SELECT seed, direction, ord, hop, {SEV} AS severity FROM aff", BOTH, recursive=True))
 def impact_analysis(spark, d):
-    g = graph(spark, d)
-    return impact.impact(g, seeds(g), 5).select("seed", "direction", "ord", "hop", "severity")
+    g = lean(spark, d)
+    return impact.impact(g, wanted(g), 5).select("seed", "direction", "ord", "hop", "severity")
 
 
 @query(with_graph(f"SELECT seed, {SEV} AS severity, count(*) AS n FROM aff GROUP BY 1, 2", BOTH, recursive=True))
 def impact_summary(spark, d):
-    g = graph(spark, d)
-    return impact.severity_summary(impact.impact(g, seeds(g), 5))
+    g = lean(spark, d)
+    return impact.severity_summary(impact.impact(g, wanted(g), 5))
 
 
 COUNTS = "cnt AS (SELECT s.ord, count(*) FILTER (WHERE direction = 'up') AS up, count(*) FILTER (WHERE direction = 'down') AS down FROM seeds s LEFT JOIN aff a ON a.seed = s.ord GROUP BY 1)"
@@ -280,24 +285,44 @@ ROLE = "CASE WHEN up = 0 AND down = 0 THEN 'Isolated' WHEN up = 0 THEN 'Entry Po
 
 @query(with_graph(f"SELECT ord, up, down, up + down AS total, {CONF} AS confidence, {ROLE} AS role FROM cnt", f"{BOTH}, {COUNTS}", recursive=True))
 def impact_confidence(spark, d):
-    g = graph(spark, d)
-    s = seeds(g)
+    g = lean(spark, d)
+    s = wanted(g)
     return impact.impact_counts(g, s, impact.impact(g, s, 5))
 
 
 @query(with_graph("SELECT seed, ord, min(hop) AS hop FROM x GROUP BY 1, 2", f"{SEEDS}, x AS (SELECT ord AS seed, ord, 0 AS hop FROM seeds UNION SELECT x.seed, e.dst, x.hop + 1 FROM x JOIN e ON e.src = x.ord WHERE x.hop < 12)", recursive=True))
 def shortest_hops(spark, d):
-    g = graph(spark, d)
-    return traverse.bfs(g.edges, seeds(g), "down", 12).select("seed", "ord", "hop")
+    g = lean(spark, d)
+    return traverse.bfs(g.edges, wanted(g), "down", 12).select("seed", "ord", "hop")
+
+
+def _farthest(g: CodeGraph) -> DataFrame:
+    """Each vertex of the query set with its farthest caller within six steps."""
+    up = traverse.bfs(g.edges, wanted(g), "up", 6)
+    return up.groupBy(F.col("seed").alias("end")).agg(F.min_by("ord", F.struct(-F.col("hop"), F.col("ord"))).alias("start"))
 
 
 @query(None)
 def shortest_path(spark, d):
-    """From the first seed's farthest caller to the seed; the way itself, so any of equal length would do."""
-    g = graph(spark, d)
-    end = seeds(g, 1).first()["ord"]
-    far = traverse.bfs(g.edges, spark.createDataFrame([(end,)], "ord long"), "up", 6).orderBy(F.desc("hop"), "ord").first()["ord"]
-    return spark.createDataFrame(list(enumerate(traverse.shortest_path(g, far, end) or [])), "pos int, ord long")
+    """To each vertex of the query set from its farthest caller within six steps; of several ways one, so see ``shortest_path_steps``."""
+    g = lean(spark, d)
+    return traverse.shortest_paths(g, _farthest(g))
+
+
+@query(
+    with_graph(
+        """SELECT seed AS "end", arg_min(ord, struct_pack(a := -hop, b := ord)) AS start, CAST(max(hop) + 1 AS BIGINT) AS vertices, CAST(max(hop) AS BIGINT) AS steps FROM u GROUP BY 1""",
+        f"{SEEDS}, w AS (SELECT ord AS seed, ord, 0 AS hop FROM seeds UNION SELECT w.seed, e.src, w.hop + 1 FROM w JOIN e ON e.dst = w.ord WHERE w.hop < 6), u AS (SELECT seed, ord, min(hop) AS hop FROM w GROUP BY 1, 2)",
+        recursive=True,
+    )
+)
+def shortest_path_steps(spark, d):
+    """Of each way of ``shortest_path``: its vertices, and how many of its steps are edges. Both are right only for a true and shortest way."""
+    g = lean(spark, d)
+    p = checkpoint(traverse.shortest_paths(g, _farthest(g)))
+    step = p.select("start", "end", (F.col("pos") + 1).alias("pos"), F.col("ord").alias("src")).join(p.select("start", "end", "pos", F.col("ord").alias("dst")), ["start", "end", "pos"])
+    true = step.join(g.edges.select("src", "dst").distinct(), ["src", "dst"]).groupBy("start", "end").agg(F.count(F.lit(1)).alias("steps"))
+    return p.groupBy("start", "end").agg(F.count(F.lit(1)).alias("vertices")).join(true, ["start", "end"], "left").fillna(0, ["steps"])
 
 
 # ------------------------------------------------------------- ranking
@@ -330,8 +355,8 @@ def hotspots(spark, d):
 
 CHANGED = "ch AS (SELECT * FROM v WHERE file IN (SELECT file FROM v WHERE ord IN (SELECT ord FROM seeds)))"
 BLAST = f"""{SEEDS}, {CHANGED},
-    w AS (SELECT ord AS seed, ord, 0 AS hop FROM ch UNION SELECT w.seed, e.src, w.hop + 1 FROM w JOIN e ON e.dst = w.ord WHERE w.hop < 3),
-    x AS (SELECT ord AS seed, ord, 0 AS hop FROM ch UNION SELECT x.seed, e.dst, x.hop + 1 FROM x JOIN e ON e.src = x.ord WHERE x.hop < 3),
+    w AS (SELECT ord AS seed, ord, 0 AS hop FROM ch UNION SELECT w.seed, e.src, w.hop + 1 FROM w JOIN e ON e.dst = w.ord WHERE w.hop < 5),
+    x AS (SELECT ord AS seed, ord, 0 AS hop FROM ch UNION SELECT x.seed, e.dst, x.hop + 1 FROM x JOIN e ON e.src = x.ord WHERE x.hop < 5),
     aff AS (SELECT 'up' AS direction, seed, ord, min(hop) AS hop FROM w GROUP BY 1, 2, 3 HAVING min(hop) > 0 UNION ALL SELECT 'down', seed, ord, min(hop) FROM x GROUP BY 1, 2, 3 HAVING min(hop) > 0),
     an AS (SELECT a.*, v.id, v.file FROM aff a JOIN v USING (ord)),
     ep AS (SELECT DISTINCT id FROM an WHERE ord NOT IN (SELECT dst FROM e WHERE src <> dst)),
@@ -341,15 +366,16 @@ BLAST = f"""{SEEDS}, {CHANGED},
 
 
 def blast(spark, d) -> diff.BlastRadius:
-    g = graph(spark, d)
-    files = [r["file"] for r in g.nodes.join(seeds(g), "ord").select("file").distinct().collect()]  # of five vertices
-    return diff.BlastRadius(g, diff.changed_nodes_partial(g.nodes, files), 3)
+    """The change of all files with a vertex of the query set."""
+    g = lean(spark, d)
+    files = checkpoint(g.nodes.join(wanted(g), "ord").select("file").distinct())
+    return diff.BlastRadius(g, diff.changed_nodes(g.nodes, files), files=files)
 
 
 @query(with_graph("SELECT ord FROM v WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT file FROM v JOIN seeds USING (ord)) f WHERE ends_with(v.file, f.file))", SEEDS))
 def changed_nodes(spark, d):
-    g = code_graph(spark, d)
-    return diff.changed_nodes(g.nodes, g.nodes.join(seeds(g), "ord").select("file")).select("ord")
+    g = lean(spark, d)
+    return diff.changed_nodes(g.nodes, g.nodes.join(wanted(g), "ord").select("file")).select("ord")
 
 
 @query(with_graph("SELECT *, CASE WHEN affected_nodes > 50 THEN 'critical' WHEN affected_nodes > 25 THEN 'high' WHEN affected_nodes > 10 THEN 'medium' ELSE 'low' END AS risk FROM su", BLAST, recursive=True))
@@ -382,8 +408,7 @@ def risk_check(spark, d):
     )
 )
 def guard(spark, d):
-    b = blast(spark, d)
-    return diff.guard(b, lookup.detail(b.graph, scores(spark, d)))
+    return diff.guard(blast(spark, d), lookup.detail(code_graph(spark, d), scores(spark, d)))
 
 
 @query(
@@ -394,8 +419,8 @@ def guard(spark, d):
     )
 )
 def agent_review(spark, d):
-    g = code_graph(spark, d)
-    changed = diff.changed_nodes(g.nodes, g.nodes.join(seeds(g), "ord").select("file"))
+    g = graph(spark, d)
+    changed = diff.changed_nodes(g.nodes, g.nodes.join(wanted(g), "ord").select("file"))
     return diff.review(g, changed, lookup.detail(g, scores(spark, d)))
 
 
@@ -409,7 +434,7 @@ def change_classes(spark, d):
 
 AUDIT = f"""{SEEDS}, c AS (SELECT DISTINCT src, dst FROM e WHERE kind = 'calls'),
     us AS (SELECT * FROM c WHERE src NOT IN (SELECT ord FROM v WHERE regexp_matches(lower(file), 'test|spec'))),
-    p AS (SELECT ord AS sink, ord AS pt, [ord] AS path FROM seeds UNION ALL SELECT p.sink, us.src, list_append(p.path, us.src) FROM p JOIN us ON us.dst = p.pt WHERE len(p.path) < 6 AND NOT list_contains(p.path, us.src)),
+    p AS (SELECT ord AS sink, ord AS pt, [ord] AS path FROM seeds UNION ALL SELECT p.sink, us.src, list_append(p.path, us.src) FROM p JOIN us ON us.dst = p.pt WHERE len(p.path) < 8 AND NOT list_contains(p.path, us.src)),
     ways AS (SELECT sink, pt AS source, list_reverse(path) AS trace, len(path) AS length FROM p WHERE pt NOT IN (SELECT dst FROM c)),
     sv AS (SELECT *, CASE WHEN length <= 2 THEN 'critical' WHEN length <= 4 THEN 'high' WHEN length <= 6 THEN 'medium' ELSE 'low' END AS severity FROM ways)
 """
@@ -417,8 +442,8 @@ AUDIT = f"""{SEEDS}, c AS (SELECT DISTINCT src, dst FROM e WHERE kind = 'calls')
 
 @query(with_graph("SELECT sink, source, array_to_string(trace, '>') AS trace, CAST(length AS INTEGER) AS length, severity FROM sv", AUDIT, recursive=True))
 def audit_paths(spark, d):
-    g = graph(spark, d)
-    return audit.audit_paths(g, seeds(g), 6).withColumn("trace", F.array_join(F.col("trace").cast("array<string>"), ">"))
+    g = lean(spark, d)
+    return audit.audit_paths(g, wanted(g)).withColumn("trace", F.array_join(F.col("trace").cast("array<string>"), ">"))
 
 
 @query(
@@ -430,8 +455,8 @@ def audit_paths(spark, d):
     )
 )
 def audit_summary(spark, d):
-    g = graph(spark, d)
-    return audit.audit_summary(g, audit.audit_paths(g, seeds(g), 6))
+    g = lean(spark, d)
+    return audit.audit_summary(g, audit.audit_paths(g, wanted(g)))
 
 
 @query(
@@ -442,14 +467,14 @@ def audit_summary(spark, d):
     )
 )
 def audit_named(spark, d):
-    g = graph(spark, d)
-    return audit.named_paths(g, audit.audit_paths(g, seeds(g), 6))
+    g = lean(spark, d)
+    return audit.named_paths(g, audit.audit_paths(g, wanted(g)))
 
 
-@query(with_graph("SELECT seed, ord, hop FROM up JOIN v USING (ord) WHERE hop > 0 AND regexp_matches(lower(name), 'query|exec|eval|write|delete|connect|send|request|fetch|open|read_file|spawn|database|sql|db|auth|login|password')", f"{SEEDS}, {UP}", recursive=True))
+@query(with_graph("SELECT seed, ord, hop FROM up JOIN v USING (ord) WHERE hop > 0 AND regexp_matches(lower(name), 'query|exec|eval|write|delete|connect|send|request|fetch|open|read_file|spawn|database|sql|db|auth|login|password')", f"{SEEDS}, {UP.replace('hop < 5', 'hop < 8')}", recursive=True))
 def sensitive_reach(spark, d):
-    g = graph(spark, d)
-    return audit.sensitive_reach(g, seeds(g), 5)
+    g = lean(spark, d)
+    return audit.sensitive_reach(g, wanted(g))
 
 
 # ------------------------------------------------------------- budgets
@@ -498,10 +523,9 @@ def map_budget(spark, d):
 
 @query(None)
 def slice_budget(spark, d):
-    """The neighbourhood of the first seed under 4,000 tokens."""
+    """The neighbourhood of each vertex of the query set under 4,000 tokens."""
     g = graph(spark, d)
-    kept, reason = budget.slice_context(g, scores(spark, d), seeds(g, 1).first()["ord"], 4000)
-    return spark.createDataFrame([(i, r["ord"], r["depth"], r["tokens"], reason) for i, r in enumerate(kept)], "pos int, ord long, depth int, tokens long, reason string")
+    return budget.slice_contexts(g, scores(spark, d), wanted(g), 4000)
 
 
 # ------------------------------------------------------------- heuristics and matrices

@@ -128,7 +128,11 @@ def test_removal(spark):
 def test_blast_radius(spark):
     g, at, _ = graph(spark, "main>a a>b x>b b>c", files={"b": "src/b.rs", "main": "src/main.rs", "c": "src/c.rs", "a": "src/a.rs", "x": "src/x.rs"})
     changed = diff.changed_nodes(g.nodes, spark.createDataFrame([("b.rs",)], "file string"))
-    assert [r.name for r in changed.collect()] == ["b"] == [r.name for r in diff.changed_nodes_partial(g.nodes, ["b.rs"]).collect()]
+    named = lambda *files: sorted(r.name for r in diff.changed_nodes(g.nodes, spark.createDataFrame([(f,) for f in files], "file string"), "src").collect())
+    assert named("b.rs") == ["b"] and named("in.rs", "src\\c.rs", "", "none.rs", "/other/a.rs") == ["c", "main"]
+    near = diff.reached(g.edges, changed, "up", 5, 9).collect()
+    assert sorted((r.ord, r.source) for r in near) == sorted((at[x], at["b"]) for x in ("b", "a", "x", "main"))
+    assert diff.BlastRadius(g, changed, files=spark.createDataFrame([("b.rs",), ("new/x.rs",), ("/x.rs",)], "file string")).files_to_update().count() == 3
     b = diff.BlastRadius(g, changed)
     s = b.summary().first()
     assert (s.direct_callers, s.indirect_callers, s.affected_nodes, s.entrypoints, s.risk) == (2, 1, 4, 2, "low")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symgraph.operators import budget, traverse
-from symgraph.plans import adapters, registry, whole_queries
+from symgraph.plans import adapters, registry
 
 #: A chain 101 > 102 > ... > 107 > 60, a hub 7, and vertices at random.
 HUB, CHAIN = 7, list(range(101, 108))
@@ -55,11 +55,11 @@ def walk(tables, start, direction, depth):
 
 def test_lookups_answer_for_all(spark, tables):
     calls = [p for p, k in tables[2] if k == "calls"]
-    assert sorted(r[:2] for r in rows(spark, tables, "callers_all")) == sorted((b, a) for a, b in calls)
-    assert sorted(r[:2] for r in rows(spark, tables, "callees_all")) == sorted(calls)
-    told = {r[0]: r[1] for r in rows(spark, tables, "explain_symbols_all")}
+    assert sorted(r[:2] for r in rows(spark, tables, "callers")) == sorted((b, a) for a, b in calls)
+    assert sorted(r[:2] for r in rows(spark, tables, "callees")) == sorted(calls)
+    told = {r[0]: r[1] for r in rows(spark, tables, "explain_symbols")}
     assert told == {o: ",".join([tables[3][a][2] for a in sorted(a for a, b in calls if b == o)[:5]]) for o in tables[1]}
-    found = {r[1]: r[2] for r in rows(spark, tables, "batch_query_all")}
+    found = {r[1]: r[2] for r in rows(spark, tables, "batch_query")}
     by_name = {n[2]: o for o, n in sorted(tables[3].items(), reverse=True)}
     assert found == by_name | {n[1]: o for o, n in tables[3].items()}
 
@@ -68,22 +68,22 @@ def test_walks_start_at_the_query_set(spark, tables):
     up = {(s, o, h) for s in wanted(tables) for o, h in walk(tables, s, "up", 5).items() if h}
     down = {(s, o, h) for s in wanted(tables) for o, h in walk(tables, s, "down", 5).items() if h}
     assert {s for s, _, _ in up} > {HUB}
-    assert sorted(rows(spark, tables, "dependents_all")) == sorted(up)
-    got = rows(spark, tables, "impact_analysis_all")
+    assert sorted(rows(spark, tables, "dependents")) == sorted(up)
+    got = rows(spark, tables, "impact_analysis")
     assert sorted((d, s, o, h) for s, d, o, h, _ in got) == sorted([("up", *r) for r in up] + [("down", *r) for r in down])
-    counts = {r[0]: r[1:3] for r in rows(spark, tables, "impact_confidence_all")}
+    counts = {r[0]: r[1:3] for r in rows(spark, tables, "impact_confidence")}
     assert counts == {s: (sum(r[0] == s for r in up), sum(r[0] == s for r in down)) for s in wanted(tables)}
-    assert sum(r[2] for r in rows(spark, tables, "impact_summary_all")) == len(up) + len(down)
-    assert sorted(rows(spark, tables, "shortest_hops_all")) == sorted((s, o, h) for s in wanted(tables) for o, h in walk(tables, s, "down", 12).items())
+    assert sum(r[2] for r in rows(spark, tables, "impact_summary")) == len(up) + len(down)
+    assert sorted(rows(spark, tables, "shortest_hops")) == sorted((s, o, h) for s in wanted(tables) for o, h in walk(tables, s, "down", 12).items())
     files = {tables[3][o][5] for o in wanted(tables)}
     changed = sorted(o for o in tables[1] if tables[3][o][5] in files)
-    assert sorted(r[0] for r in rows(spark, tables, "changed_nodes_all")) == changed == sorted(r[0] for r in rows(spark, tables, "agent_review_all"))
+    assert sorted(r[0] for r in rows(spark, tables, "changed_nodes")) == changed == sorted(r[0] for r in rows(spark, tables, "agent_review"))
 
 
 def test_paths_and_slices_are_those_of_one_vertex(spark, tables):
     g = adapters.code_graph(spark, tables[0])
     paths = defaultdict(dict)
-    for start, end, pos, o in rows(spark, tables, "shortest_path_all"):
+    for start, end, pos, o in rows(spark, tables, "shortest_path"):
         paths[start, end][pos] = o
     assert {e for _, e in paths} == wanted(tables)
     for s, e in paths:
@@ -93,7 +93,7 @@ def test_paths_and_slices_are_those_of_one_vertex(spark, tables):
         assert [paths[s, e][i] for i in range(len(paths[s, e]))] == traverse.shortest_path(g, s, e)
     assert traverse.shortest_paths(g, spark.createDataFrame([(60, 101)], "start long, end long")).collect() == []
     got = defaultdict(list)
-    for target, _, o, *_, reason in sorted(rows(spark, tables, "slice_budget_all")):
+    for target, _, o, *_, reason in sorted(rows(spark, tables, "slice_budget")):
         got[target].append((o, reason))
     assert got.keys() == wanted(tables)
     sc = g.nodes.select("ord", (F.lit(1.0) / F.col("ord")).alias("score"))
@@ -119,23 +119,19 @@ def test_audits_and_changes_go_as_deep_as_the_operators(spark, tables):
 
     for o in wanted(tables):
         up([o])
-    got = rows(spark, tables, "audit_paths_all")
+    got = rows(spark, tables, "audit_paths")
     assert sorted(r[2] for r in got) == sorted(">".join(map(str, w)) for w in ways) and ">".join(map(str, [*CHAIN, 60])) in {r[2] for r in got if r[4] == "low"}
-    assert rows(spark, tables, "audit_summary_all")[0][3] == sum(len(w) > 6 for w in ways) > 0
-    assert len(rows(spark, tables, "audit_named_all")) == len(ways)
+    assert rows(spark, tables, "audit_summary")[0][3] == sum(len(w) > 6 for w in ways) > 0
+    assert len(rows(spark, tables, "audit_named")) == len(ways)
     near = {(s, o, h) for s in wanted(tables) for o, h in walk(tables, s, "up", 8).items() if h and tables[3][o][2].startswith("db_")}
-    assert sorted(rows(spark, tables, "sensitive_reach_all")) == sorted(near) and (60, 101, 7) in near
+    assert sorted(rows(spark, tables, "sensitive_reach")) == sorted(near) and (60, 101, 7) in near
     files = {tables[3][o][5] for o in wanted(tables)}
     changed = [o for o in tables[1] if tables[3][o][5] in files]
     pairs = {(d, o, h) for s in changed for d in ("up", "down") for o, h in walk(tables, s, d, 5).items() if h}
     hit = {o for _, o, _ in pairs}
     entries = hit - {b for (a, b), _ in tables[2] if a != b}
     summary = (len(changed), len({o for d, o, h in pairs if d == "up" and h == 1}), len({o for d, o, h in pairs if d == "up" and h > 1}), len(hit), len({tables[3][o][5] for o in hit}), len(entries))
-    assert rows(spark, tables, "blast_radius_all")[0][:6] == summary and any(h > 3 for *_, h in pairs)
-    assert {r[0] for r in rows(spark, tables, "files_to_update_all")} == {tables[3][o][5] for o in hit} - files
-    assert {r[0] for r in rows(spark, tables, "entrypoints_affected_all")} == {tables[3][o][1] for o in entries}
-    assert rows(spark, tables, "risk_check_all")[0][:3] == (summary[3], summary[5], summary[2]) and rows(spark, tables, "guard_all")[0][0] == (summary[3] > 25)
-
-
-def test_sql_differs_only_in_its_seeds():
-    assert set(whole_queries.S) <= set(registry.oracle_sql()) and all("LIMIT 5)" not in s.split("v AS MATERIALIZED")[0] and "HAVING count(*) = 3" not in s for s in whole_queries.S.values())
+    assert rows(spark, tables, "blast_radius")[0][:6] == summary and any(h > 3 for *_, h in pairs)
+    assert {r[0] for r in rows(spark, tables, "files_to_update")} == {tables[3][o][5] for o in hit} - files
+    assert {r[0] for r in rows(spark, tables, "entrypoints_affected")} == {tables[3][o][1] for o in entries}
+    assert rows(spark, tables, "risk_check")[0][:3] == (summary[3], summary[5], summary[2]) and rows(spark, tables, "guard")[0][0] == (summary[3] > 25)
