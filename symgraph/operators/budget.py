@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from symgraph.functions.predicates import compress_path, is_entry_point, is_generated_map, is_test_map, short_signature, token_estimate
+from symgraph.operators.order import running_total
 from symgraph.operators.traverse import bfs
 from symgraph.schema import CodeGraph
 
 #: Rows that are looked at in one go when a budget is filled in order.
 CHUNK = 10_000
+#: The same for a map, of whose symbols few fit.
+MAP_CHUNK = 500
 
 
 def fold_in_order(rows: DataFrame, order: list[str], take: Callable[[Row], bool], fits: Callable[[], Column | None], chunk: int = CHUNK) -> list[Row]:
@@ -39,12 +42,13 @@ def fold_in_order(rows: DataFrame, order: list[str], take: Callable[[Row], bool]
         last = got[-1]
 
 
-def slice_context(graph: CodeGraph, centrality: DataFrame, target: int, max_tokens: int, max_depth: int = 2, pinned: list[int] | None = None) -> tuple[list[Row], str]:
+def slice_context(graph: CodeGraph, centrality: DataFrame, target: int, max_tokens: int, max_depth: int = 2, pinned: list[int] | None = None) -> tuple[list[Row] | DataFrame, str]:
     """The neighbourhood of a vertex under a token budget, and ``complete`` or ``token_budget``.
 
     Candidates within ``max_depth`` steps in either direction are asked in the
     order pinned, depth, centrality, insertion; one that does not fit is skipped and later
-    smaller ones may still fit; pinned ones are always taken. 0 tokens: no limit.
+    smaller ones may still fit; pinned ones are always taken. 0 tokens: no
+    limit, and the whole neighbourhood comes as a DataFrame in that order.
     """
     spark = graph.nodes.sparkSession
     pins = set(pinned or [])
@@ -52,18 +56,20 @@ def slice_context(graph: CodeGraph, centrality: DataFrame, target: int, max_toke
     n = graph.nodes.withColumn("tokens", token_estimate(*[F.col(c) for c in ("name", "qualified_name", "file", "signature", "line_start", "line_end")]))
     rows = near.join(n, "ord").join(centrality.select("ord", "score"), "ord", "left").fillna(0.0, ["score"])
     rows = rows.select((~F.col("ord").isin(list(pins) or [-1])).alias("free"), "depth", (-F.col("score")).alias("minus"), "ord", "id", "name", "tokens")
+    if not max_tokens:
+        return rows.orderBy("free", "depth", "minus", "ord"), "complete"
     used, skipped = 0, False
 
     def take(r: Row) -> bool:
         nonlocal used, skipped
-        if r["free"] and max_tokens and used + r["tokens"] > max_tokens:
+        if r["free"] and used + r["tokens"] > max_tokens:
             skipped = True
             return False
         used += r["tokens"]
         return True
 
     def fits() -> Column:
-        return F.lit(True) if not max_tokens else ~F.col("free") | (F.col("tokens") <= max(0, max_tokens - used))
+        return ~F.col("free") | (F.col("tokens") <= max(0, max_tokens - used))
 
     total = rows.count()
     kept = fold_in_order(rows, ["free", "depth", "minus", "ord"], take, fits)
@@ -120,8 +126,7 @@ def prefix_context(hits: DataFrame, scores: DataFrame, max_tokens: int) -> DataF
     fold_in_order(rows.where("tokens > 0").select("minus", "ord", "tokens"), ["minus", "ord"], take, lambda: None if over else F.lit(True))
     if over:
         rows = rows.where((F.col("minus") < over["minus"]) | ((F.col("minus") == over["minus"]) & (F.col("ord") < over["ord"])))
-    running = F.sum("tokens").over(Window.orderBy("minus", "ord").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", running).drop("minus")
+    return running_total(rows, ["minus", "ord"], F.col("tokens"), "used").drop("minus")
 
 
 def map_scores(nodes: DataFrame, centrality: DataFrame, focus: list[str] | None = None, exclude_tests: bool = True) -> DataFrame:
@@ -158,11 +163,14 @@ def build_map(nodes: DataFrame, centrality: DataFrame, tokens: int = 1024, focus
     """
     scored = map_scores(nodes, centrality, focus, exclude_tests)
     rows = map_capped(scored, tokens).withColumns({"short": F.coalesce(short_signature("signature"), F.col("name")), "minus": -F.col("best")})
-    rows = rows.select("minus", "best_ord", "rank", "file", compress_path(F.col("file"), root).alias("path"), "name", "kind", "short", "score", "line_start", F.length("short").alias("chars"))
-    budget, used, ended = 4 * tokens, 0, set()
+    # a symbol is of interest as long as no symbol before it in its file, nor itself, is too long for what is left
+    rows = rows.withColumn("longest", F.max(F.length("short")).over(Window.partitionBy("file").orderBy("rank")))
+    rows = rows.select("minus", "best_ord", "rank", "file", "longest", compress_path(F.col("file"), root).alias("path"), "name", "kind", "short", "score", "line_start", F.length("short").alias("chars"))
+    budget, used, ended, at = 4 * tokens, 0, set(), None
 
     def take(r: Row) -> bool:
-        nonlocal used
+        nonlocal used, at
+        at = r["file"]
         cost = r["chars"] + 50
         if used >= budget or r["file"] in ended:
             return False
@@ -172,7 +180,12 @@ def build_map(nodes: DataFrame, centrality: DataFrame, tokens: int = 1024, focus
         used += cost
         return True
 
-    kept = fold_in_order(rows, ["minus", "best_ord", "rank"], take, lambda: None if used >= budget else F.lit(True))
+    def fits() -> Column | None:
+        if used >= budget:
+            return None
+        return F.lit(True) if not used else (F.col("file") == F.lit(at)) | (F.col("longest") + 50 <= budget - used)
+
+    kept = fold_in_order(rows, ["minus", "best_ord", "rank"], take, fits, MAP_CHUNK)
     files: dict[str, list] = {}
     for r in kept:
         files.setdefault(r["path"], []).append({"name": r["name"], "kind": r["kind"], "line": r["line_start"], "signature": r["short"], "centrality": round(r["score"], 2)})

@@ -8,28 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from symgraph.operators.order import row_numbers
 from symgraph.schema import CodeGraph, parent_dir
+from symgraph.session import checkpoint
 
 
 def assign_ord(raw: DataFrame, file_order: str = "file", place: str = "pos") -> DataFrame:
-    """``ord`` 1, 2, ... by file and place in it.
-
-    Numbers come from the counts of the files before and the place among the
-    file's own rows, so no task sorts all rows.
-    """
-    counts = raw.groupBy(file_order).agg(F.count(F.lit(1)).alias("n"))
-    # sums over files in order: first over ranges of files, then inside each
-    spread = counts.repartitionByRange(F.col(file_order)).withColumn("part", F.spark_partition_id()).persist()
-    before = {r["part"]: r["n"] for r in spread.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a number per partition
-    ahead, run = {}, 0
-    for p in sorted(before):
-        ahead[p], run = run, run + before[p]
-    shift = F.create_map(*[F.lit(x) for kv in ahead.items() for x in kv])[F.col("part")] if ahead else F.lit(0)
-    base = spread.withColumn("base", shift + F.sum("n").over(Window.partitionBy("part").orderBy(file_order)) - F.col("n")).select(file_order, "base")
-    at = F.row_number().over(Window.partitionBy(file_order).orderBy(place))
-    return raw.withColumn("at", at).join(base, file_order).withColumn("ord", (F.col("base") + F.col("at")).cast("long")).drop("at", "base")
+    """``ord`` 1, 2, ... by file and place in it, also where one file has most rows."""
+    return row_numbers(raw, [file_order, place], "ord")
 
 
 def entities(nodes: DataFrame) -> DataFrame:
@@ -80,7 +67,7 @@ def resolve(nodes: DataFrame) -> DataFrame:
     with imports, a plain name that is not imported must then be of the same
     file or folder. References to the caller itself give nothing.
     """
-    symbols = symbol_table(nodes).persist()
+    symbols = checkpoint(symbol_table(nodes))
     refs = references(nodes)
     exact = refs.join(symbols.select(F.col("fqn").alias("ref"), "ord"), "ref", "left")
     hit = exact.where("ord IS NOT NULL").select("caller", "pos", "ref", "ord", F.lit("exact").alias("step"))
@@ -106,7 +93,7 @@ def build_graph(nodes: DataFrame, with_edges: bool = True) -> CodeGraph:
     vertices = entities(nodes)
     if not with_edges:
         return CodeGraph(vertices, nodes.sparkSession.createDataFrame([], "eord long, src long, dst long, kind string, file string, line int"))
-    e = resolve(nodes).select((F.col("caller") * 100_000 + F.col("pos")).alias("eord"), F.col("caller").alias("src"), F.col("ord").alias("dst"), F.lit("calls").alias("kind"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))
+    e = row_numbers(resolve(nodes), ["caller", "pos"], "eord").select("eord", F.col("caller").alias("src"), F.col("ord").alias("dst"), F.lit("calls").alias("kind"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))
     return CodeGraph(vertices, e)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symgraph.session import checkpoint
+
 #: More delivered snapshots than this are joined without a broadcast.
 BROADCAST_SNAPSHOTS = 100_000
 
@@ -39,7 +41,7 @@ def snapshot_changes(df: DataFrame, seq: str, key: str, version: str, values: Se
     follow = spark.createDataFrame(list(zip(numbers, numbers[1:])), f"seq {kind}, next_seq {kind}")
     if len(numbers) <= BROADCAST_SNAPSHOTS:
         follow = F.broadcast(follow)
-    states = snapshot_states(df, seq, key, version, values).persist()
+    states = checkpoint(snapshot_states(df, seq, key, version, values))  # read four times, also after an executor is lost
     rest = ["key", *[f"v{i}" for i in range(len(values))]]
     before = states.join(follow, "seq").select(F.col("next_seq").alias("seq"), *rest)
     now = states.join(follow.select(F.col("next_seq").alias("seq")), "seq").select("seq", *rest)

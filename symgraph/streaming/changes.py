@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from symgraph.operators.build import build_graph
+from symgraph.operators.order import row_numbers
 from symgraph.operators.rank import centrality
 from symgraph.schema import CodeGraph
 from symgraph.session import checkpoint
@@ -64,19 +64,8 @@ def update_message(graph: CodeGraph, sessions: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """``batch`` numbers of ``size`` rows each in the given order.
-
-    Rows are laid in ranges of the order; a range's rows are numbered after
-    the counts of the ranges before it.
-    """
-    laid = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    laid = laid.persist()
-    ahead, run = {}, 0
-    for r in laid.groupBy("part").count().orderBy("part").collect():  # a number per partition
-        ahead[r["part"]], run = run, run + r["count"]
-    shift = F.create_map(*[F.lit(x) for kv in ahead.items() for x in kv])[F.col("part")] if ahead else F.lit(0)
-    at = shift + F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return laid.withColumn("batch", F.floor((at - 1) / size)).drop("part")
+    """``batch`` numbers of ``size`` rows each in the given order."""
+    return row_numbers(rows, order, "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size))
 
 
 def snapshot_batches(graph: CodeGraph, nodes_each: int = 50, edges_each: int = 100) -> tuple[DataFrame, DataFrame]:
