@@ -103,6 +103,11 @@ def p9_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(spark, sf_dir).slots
 
 
+def p9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed blocks in training order with the token ids of each."""
+    return mixture(spark, sf_dir).token_blocks()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
@@ -129,6 +134,7 @@ QUERIES = {
     "p9_selection": p9_selection,
     "p9_shares": p9_shares,
     "p9_blocks": p9_blocks,
+    "p9_tokens": p9_tokens,
     "p10_found": p10_found,
     "p10_kinds": p10_kinds,
 }
