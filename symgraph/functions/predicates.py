@@ -148,6 +148,11 @@ def simple_role(up: Column, down: Column) -> Column:
     return F.when((up == 0) & (down == 0), "Isolated").when(up == 0, "Entry Point").when(down == 0, "Utility").otherwise("Core Logic")
 
 
+def simple_confidence(total: Column) -> Column:
+    """Goes with :func:`simple_role`: low if nothing is known to be affected."""
+    return F.when(total == 0, "Low (no edges found)").otherwise("High")
+
+
 def degree_role(entry: Column, callers: Column, callees: Column) -> Column:
     return F.when(entry, "entry_point").when(callers == 0, "unreachable").when(callees == 0, "utility").otherwise("internal")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from symgraph.functions.predicates import confidence, node_role, severity, severity_rank
 from symgraph.operators.traverse import bfs_each
@@ -20,6 +21,12 @@ def impact(graph: CodeGraph, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
     return out.withColumns({"severity": severity(F.col("hop")), "severity_rank": severity_rank(F.col("hop"))})
 
 
+def listed(graph: CodeGraph, affected: DataFrame) -> DataFrame:
+    """``affected`` with ``id`` and ``pos`` 1, 2, ... in the order of a listing of each seed: severity, steps, id."""
+    w = Window.partitionBy("seed").orderBy("severity_rank", "hop", "id", "direction", "ord")
+    return affected.join(graph.nodes.select("ord", "id"), "ord").withColumn("pos", F.row_number().over(w))
+
+
 def impact_counts(graph: CodeGraph, seeds: DataFrame, affected: DataFrame) -> DataFrame:
     """``ord, up, down, total, confidence, role`` of every seed."""
     c = affected.groupBy(F.col("seed").alias("ord")).agg(F.count_if(F.col("direction") == "up").alias("up"), F.count_if(F.col("direction") == "down").alias("down"))

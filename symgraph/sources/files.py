@@ -11,12 +11,16 @@ import fnmatch
 import json
 import os
 import subprocess
+import warnings
+from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.functions.predicates import is_generated_change, is_generated_tool_change
+from symgraph.operators.build import build_graph
 from symgraph.schema import NODES, SCHEMA_VERSION, CodeGraph
 
 #: Extensions with a grammar, and those that only the line scanner reads (fixed values).
@@ -187,16 +191,38 @@ def is_stale(files: DataFrame, snapshot_mtime: int) -> bool:
     return not files.where(is_supported(ext) & (F.col("mtime") > snapshot_mtime)).isEmpty()
 
 
-def load_or_build(spark: SparkSession, folders: list[tuple[str, str]], build) -> CodeGraph:
-    """The first snapshot of ``(folder, format)`` that can be read, else what ``build()`` gives."""
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def load_or_build(spark: SparkSession, folders: list[tuple[str, str]], build: Callable[[], CodeGraph], files: DataFrame | None = None, written: int = 0, store: Store | None = None, kept_fresh: bool = False) -> tuple[CodeGraph, str]:
+    """The graph, and which rung of the ladder gave it.
+
+    First the snapshots of ``(folder, format)``, unless a file of ``files`` is
+    newer than ``written`` (seconds) and nobody keeps them fresh. A missing
+    snapshot is passed over, as is one that cannot be read, of which a warning
+    tells. If no snapshot is there at all, and nobody else may hold it, the store: its
+    nodes are resolved anew. Else ``build()``. Whatever is made anew is saved
+    to all the folders.
+    """
+    there = [(folder, form) for folder, form in folders if exists(spark, f"{folder}/nodes")]
+    if kept_fresh or files is None or not is_stale(files, written):
+        for folder, form in there:
+            try:
+                g = load_snapshot(spark, folder, form)
+                g.nodes.isEmpty()
+                g.edges.isEmpty()
+                return g, folder
+            except PySparkException as e:
+                warnings.warn(f"snapshot {folder} cannot be read: {e}", stacklevel=2)
+    if not there and not kept_fresh and store is not None and not store.files().isEmpty():
+        g, rung = build_graph(store.nodes()), "store"
+    else:
+        g, rung = build(), "built"
     for folder, form in folders:
-        try:
-            g = load_snapshot(spark, folder, form)
-            g.nodes.isEmpty()
-            return g
-        except Exception:  # noqa: BLE001, S112 - missing or damaged: try the next
-            continue
-    return build()
+        save_snapshot(g, folder, form)
+    return g, rung
 
 
 def export_json(graph: CodeGraph, folder: str) -> None:

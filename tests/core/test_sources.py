@@ -59,8 +59,17 @@ def test_snapshots(spark, tmp_path):
         assert S.load_snapshot(spark, f"{tmp_path}/{form}", form).edges.count() == 1
     S.export_json(g, f"{tmp_path}/export")
     assert spark.read.json(f"{tmp_path}/export/stats").first()["nodes"] == 1
-    assert S.load_or_build(spark, [(f"{tmp_path}/none", "parquet"), (f"{tmp_path}/json", "json")], lambda: None).nodes.count() == 1
-    assert S.load_or_build(spark, [(f"{tmp_path}/none", "parquet")], lambda: g) is g
+    ladder = [(f"{tmp_path}/none", "parquet"), (f"{tmp_path}/json", "json")]
+    got, rung = S.load_or_build(spark, ladder, lambda: None)
+    assert got.nodes.count() == 1 and rung.endswith("/json")
+    new = spark.createDataFrame([("a.rs", 100)], "path string, mtime long")
+    assert S.load_or_build(spark, ladder, lambda: None, files=new, written=50, kept_fresh=True)[1].endswith("/json")
+    assert S.load_or_build(spark, [(f"{tmp_path}/made", "parquet")], lambda: g) == (g, "built") and S.load_snapshot(spark, f"{tmp_path}/made").nodes.count() == 1
+    assert S.load_or_build(spark, [(f"{tmp_path}/made", "parquet")], lambda: g, files=new, written=50) == (g, "built")  # stale
+    (tmp_path / "bad" / "nodes").mkdir(parents=True)
+    (tmp_path / "bad" / "nodes" / "x.parquet").write_text("no parquet")
+    with pytest.warns(UserWarning, match="cannot be read"):
+        assert S.load_or_build(spark, [(f"{tmp_path}/bad", "parquet"), (f"{tmp_path}/json", "json")], lambda: None)[1].endswith("/json")
     files = spark.createDataFrame([("a.rs", 100), ("b.txt", 10**12)], "path string, mtime long")
     assert S.is_stale(files, 50) and not S.is_stale(files, 100)
     paths = named_paths(g, audit_paths(g, n.select("ord"), 3))
