@@ -521,7 +521,22 @@ def map_budget(spark, d):
     return spark.createDataFrame(rows, "file_pos int, path string, name string, kind string, line int, signature string, score double")
 
 
-@query(None)
+NEAR = f"""
+    b AS (SELECT src AS at, dst AS nxt FROM e UNION SELECT dst, src FROM e),
+    w AS (SELECT ord AS seed, ord, 0 AS hop FROM seeds UNION SELECT w.seed, b.nxt, w.hop + 1 FROM w JOIN b ON b.at = w.ord WHERE w.hop < 2),
+    cand AS MATERIALIZED (SELECT target, ord, depth, {TOKENS} AS tokens, row_number() OVER (PARTITION BY target ORDER BY depth, coalesce(score, 0) DESC, ord) AS k FROM (SELECT seed AS target, ord, min(hop) AS depth FROM w GROUP BY 1, 2) JOIN v USING (ord) LEFT JOIN sc USING (ord)),
+    fold AS (SELECT ord AS target, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS kept, false AS took, false AS full_ FROM seeds
+        UNION ALL SELECT c.target, c.k, CASE WHEN used + tokens <= 4000 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 4000 THEN kept + 1 ELSE kept END, used + tokens <= 4000, full_ OR used + tokens > 4000 FROM fold JOIN cand c ON c.target = fold.target AND c.k = fold.k + 1)
+"""
+
+
+@query(
+    with_graph(
+        "SELECT target, CAST(kept - 1 AS INTEGER) AS pos, ord, CAST(depth AS INTEGER) AS depth, tokens, CASE WHEN any_ THEN 'token_budget' ELSE 'complete' END AS reason FROM fold JOIN cand USING (target, k) JOIN (SELECT target, bool_or(full_) AS any_ FROM fold GROUP BY 1) USING (target) WHERE took",
+        f"{SEEDS}, {SCORES}, {NEAR}",
+        recursive=True,
+    )
+)
 def slice_budget(spark, d):
     """The neighbourhood of each vertex of the query set under 4,000 tokens."""
     g = graph(spark, d)

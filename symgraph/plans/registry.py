@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.plans import data_problems, graph_queries, pipeline_queries, report_queries
+from symgraph.plans import data_problems, fixture_queries, graph_queries, pipeline_queries, report_queries
 
-MODULES = [data_problems, graph_queries, pipeline_queries, report_queries]
+MODULES = [data_problems, graph_queries, pipeline_queries, report_queries, fixture_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
