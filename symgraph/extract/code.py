@@ -196,7 +196,7 @@ def _opening(plain: str, at: int) -> int:
 
 
 def _closing(plain: str, opened: int) -> int:
-    """Behind the brace that closes the one at ``opened``."""
+    """Behind the brace that closes the one at ``opened``, or the end of the text."""
     level = 0
     for m in re.compile(r"[{}]").finditer(plain, opened):
         level += 1 if m.group() == "{" else -1
@@ -331,6 +331,8 @@ def braces(lang: str) -> Callable[[str], list[dict]]:
                         owners.append([name, depth + 1, kind, None])
                         depth += 1
                         at = opened + 1
+                    elif body and plain[end - 1] != "}":
+                        at = opened + 1  # never closed, as by a conflict of merging: what follows is still looked at
                     else:
                         at = end
                     break

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symgraph.extract.code import extract_nodes
-from symgraph.extract.lines import scan_lines
+from symgraph.extract.lines import RULES, scan_lines
 from symgraph.functions import predicates as P
 from symgraph.operators.build import assign_ord, build_graph
 from symgraph.plans.adapters import code_graph, with_graph
@@ -62,9 +62,17 @@ def language_routing(spark, d):
 
 
 def line_scan(spark, d):
-    """The Python files read by the line rules of Ruby, whose declarations begin alike."""
-    t = table(spark, d, "source_files").where(F.lower("ext") == "py").select("path", F.lit("ruby").alias("language"), "text")
-    return scan_lines(t).select("file", "name", "kind", "line_start", "col_no", "signature")
+    """All source files read by the line rules of each language that has no more than these."""
+    t = table(spark, d, "source_files").select("path", F.explode(F.array(*[F.lit(x) for x in sorted(RULES)])).alias("language"), "text")
+    per = t.select(F.concat("language", F.lit("|"), "path").alias("path"), "language", "text")  # so that a row of the result tells its rules
+    out = scan_lines(per)
+    return out.select(F.substring_index("file", "|", 1).alias("language"), F.regexp_replace("file", r"^[a-z]+\|", "").alias("file"), "name", "kind", "line_start", "col_no", "signature")
+
+
+def extracted_functions(spark, d):
+    """The functions and methods of Go and Rust files, whose declarations begin with a word of their own."""
+    files = table(spark, d, "source_files").where(F.lower("ext").isin("go", "rs")).select("path", "ext", "text")
+    return extract_nodes(files).where("kind IN ('function', 'method')").select("file", "name", "line_start")
 
 
 def path_predicates(spark, d):
@@ -91,7 +99,7 @@ def snapshot_edge_batches(spark, d):
     return snapshot_batches(code_graph(spark, d))[1]
 
 
-QUERIES = {f.__name__: f for f in (incremental_hits, deleted_cached, extracted_nodes, extraction_errors, extracted_edges, language_routing, line_scan, path_predicates, debounce_sessions, snapshot_node_batches, snapshot_edge_batches)}
+QUERIES = {f.__name__: f for f in (incremental_hits, deleted_cached, extracted_nodes, extraction_errors, extracted_edges, extracted_functions, language_routing, line_scan, path_predicates, debounce_sessions, snapshot_node_batches, snapshot_edge_batches)}
 
 _SLASH = "replace({}, chr(92), '/')"
 ORACLE = {
@@ -99,11 +107,16 @@ ORACLE = {
     "deleted_cached": f"WITH {CACHE} SELECT file FROM cache WHERE file NOT IN (SELECT path FROM source_files)",
     "language_routing": """SELECT CASE lower(ext) WHEN 'py' THEN 'python' WHEN 'rs' THEN 'rust' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' WHEN 'ts' THEN 'typescript' WHEN 'js' THEN 'typescript' WHEN 'c' THEN 'c' END AS language,
         lower(ext) IN ('py', 'rs', 'go', 'java', 'ts', 'js', 'c') AS supported, count(*) AS files FROM source_files GROUP BY 1, 2""",
-    "line_scan": """WITH l AS (SELECT path AS file, unnest(t) AS raw, generate_subscripts(t, 1) AS line_start FROM (SELECT path, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS t FROM source_files WHERE lower(ext) = 'py')),
-        m AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM l)
-        SELECT file, regexp_extract(line, '^(def self\\.|def |class |module )\\s*([\\p{L}\\p{N}_-]+)', 2) AS name, CASE WHEN starts_with(line, 'def') THEN 'function' WHEN starts_with(line, 'class') THEN 'class' ELSE 'module' END AS kind,
-            CAST(line_start AS INTEGER) AS line_start, CAST(strlen(regexp_extract(raw, '^(\\s*)', 1)) AS INTEGER) AS col_no, line AS signature
-        FROM m WHERE regexp_matches(line, '^(def self\\.|def |class |module )\\s*[\\p{L}\\p{N}_-]')""",
+    "line_scan": """WITH l AS (SELECT path AS file, unnest(t) AS raw, generate_subscripts(t, 1) AS line_start FROM (SELECT path, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS t FROM source_files)),
+        m AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM l), g AS (SELECT m.*, language FROM m, (SELECT unnest(['kotlin', 'swift', 'ruby', 'php', 'shell', 'markdown']) AS language) WHERE line <> '' AND (language = 'markdown' OR NOT regexp_matches(line, '^(//|#|/\\*|\\*|<!--)'))),
+        b AS (SELECT *, CASE language WHEN 'kotlin' THEN regexp_extract(line, '^(fun |class |data class |object |interface |enum class )\\s*[\\p{L}\\p{N}_-]', 1) WHEN 'swift' THEN regexp_extract(line, '^(func |class |struct |enum |protocol |extension )\\s*[\\p{L}\\p{N}_-]', 1)
+            WHEN 'ruby' THEN regexp_extract(line, '^(def self\\.|def |class |module )\\s*[\\p{L}\\p{N}_-]', 1) WHEN 'php' THEN regexp_extract(line, '^(function |class |interface |trait )\\s*[\\p{L}\\p{N}_-]', 1) WHEN 'shell' THEN regexp_extract(line, '^(function )\\s*[\\p{L}\\p{N}_-]', 1)
+            ELSE regexp_extract(line, '^(### |## |# )\\s*[\\p{L}\\p{N}_-]', 1) END AS begun FROM g),
+        n AS (SELECT *, CASE WHEN begun <> '' THEN regexp_extract(substr(line, length(begun) + 1), '^\\s*([\\p{L}\\p{N}_-]+)', 1) WHEN language = 'shell' THEN regexp_extract(line, '^([\\p{L}\\p{N}_-]+)\\s*\\(\\)', 1) WHEN language = 'markdown' THEN ltrim(regexp_extract(line, '^#\\S*\\s+(\\S+)', 1), '#') ELSE '' END AS name FROM b)
+        SELECT language, file, name, CASE WHEN language = 'markdown' THEN 'section' WHEN begun IN ('class ', 'data class ', 'object ') THEN 'class' WHEN begun IN ('interface ', 'protocol ', 'trait ') THEN 'interface' WHEN begun IN ('enum ', 'enum class ') THEN 'enum' WHEN begun = 'struct ' THEN 'struct' WHEN begun IN ('extension ', 'module ') THEN 'module' ELSE 'function' END AS kind,
+            CAST(line_start AS INTEGER) AS line_start, CAST(strlen(regexp_extract(raw, '^(\\s*)', 1)) AS INTEGER) AS col_no, line AS signature FROM n WHERE name <> ''""",
+    "extracted_functions": """WITH l AS (SELECT path AS file, lower(ext) AS ext, unnest(t) AS line, generate_subscripts(t, 1) AS line_start FROM (SELECT path, ext, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS t FROM source_files WHERE lower(ext) IN ('go', 'rs')))
+        SELECT file, name, CAST(line_start AS INTEGER) AS line_start FROM (SELECT *, CASE ext WHEN 'go' THEN regexp_extract(line, '^func\\s+(?:\\([^)]*\\)\\s*)?(\\w+)', 1) ELSE regexp_extract(line, '^\\s*(?:pub(?:\\([^)]*\\))?\\s+)?(?:async\\s+|unsafe\\s+|const\\s+)*fn\\s+(\\w+)', 1) END AS name FROM l) WHERE name <> ''""",
     "path_predicates": """SELECT path, regexp_matches(lower(path), '/test|\\\\test|/spec|\\\\spec|__test__|_test\\.|\\.test\\.|\\.spec\\.|/fixture|/mock|/stub|/fake|(_test\\.go|_test\\.py|_test\\.rs|test\\.ts|test\\.js)$') AS rank,
         regexp_matches(lower(path), '/test|/spec|/fixture|/mock|__tests__|\\.test\\.|\\.spec\\.|_test\\.') AS map,
         regexp_matches(lower(path), '(^|/)(tests?|specs?|fixtures?|mocks?|__tests__|__mocks__|testfixtures)(/|$)|(test\\.java|tests\\.java|test\\.rs|test\\.tsx?|test\\.jsx?|test\\.py|test\\.go|tests?\\.cs|_test\\.dart)$|\\.spec\\.|\\.test\\.|(^|/)test_[^/]*$|(^|/)conftest\\.py$') AS cli,

@@ -77,6 +77,10 @@ def test_groups_and_expressions():
     assert [(r["name"], r["refs"]) for r in extract_text(ts, "typescript", "x")[0]] == [("g", ["h", "i"]), ("k", ["j"]), ("f", ["l"]), ("last", [])]
 
 
+def test_unclosed_bodies_hide_nothing():
+    assert names("package p\n<<<<<<< a\nfunc f() int {\n=======\nfunc g() int {\n\treturn 1\n}\n>>>>>>> b\nfunc h() {}\n", "go") == [("module", "p"), ("function", "f"), ("function", "g"), ("function", "h")]
+
+
 def test_imports_bind_only_what_is_named():
     assert names("#include <stdio.h>\n#include \"a/b.h\"\n", "c", "name", "refs") == [("stdio.h", []), ("a/b.h", [])]
     assert names("import 'src/a.dart' as q;\n", "dart", "name", "refs") == [("src/a.dart", [])]
