@@ -244,6 +244,8 @@ class Parser:
         self.actions, self.gotos, self.rules = tables
         #: A token that may be inserted before a token that does not fit, if that one stands on a new line, is a closing brace or the end.
         self.insert = insert
+        #: Where chains of rules with one symbol end, by the states they begin with and the token; bounded by the tables.
+        self.units: dict[tuple[int, int, str], int] = {}
 
     def step(self, tops: list[tuple], kinds) -> list[tuple]:
         """The stacks after reading a token of any of ``kinds``; none if it does not fit."""
@@ -304,8 +306,42 @@ class Parser:
 
     def run(self, tokens: list[tuple]) -> int:
         """The index of the first token that does not fit; -1 if all do. A token is ``(kinds, line, after a line break)``, the end included."""
+        actions, gotos, rules, units = self.actions, self.gotos, self.rules, self.units
         tops: list[tuple] = [(0, [])]
         for i, (kinds, _, fresh) in enumerate(tokens):
+            # one stack and one kind: reductions until the token can be shifted, as step does
+            if len(tops) == 1 and type(kinds) is str:
+                state, below = tops[0]
+                while True:
+                    a = actions[state].get(kinds)
+                    if type(a) is not int:
+                        break
+                    if a >= 0:
+                        tops = [(a, [(state, below)])]
+                        break
+                    head, n = rules[~a]
+                    if n == 1:
+                        if len(below) > 1:
+                            break
+                        # a chain of rules with one symbol each ends in the same state whenever it begins alike
+                        key = (below[0][0], state, kinds)
+                        to = units.get(key)
+                        if to is None:
+                            to = units[key] = self._chain(*key)
+                        state = to
+                        continue
+                    base = (state, below)
+                    for _ in range(n):
+                        below = base[1]
+                        if len(below) > 1:
+                            break
+                        base = below[0]
+                    else:
+                        state, below = gotos[base[0]][head], [base]
+                        continue
+                    break  # the way down forks: the stacks as they were are looked at together
+                if type(a) is int and a >= 0:
+                    continue
             after = self.step(tops, kinds)
             if not after and self.insert and (fresh or kinds == "}" or kinds == END):
                 put = self.step(tops, self.insert)
@@ -314,3 +350,11 @@ class Parser:
                 return i
             tops = after
         return -1
+
+    def _chain(self, base: int, state: int, kind: str) -> int:
+        """Where rules of one symbol lead from ``state`` above ``base`` before ``kind``."""
+        while True:
+            a = self.actions[state].get(kind)
+            if type(a) is not int or a >= 0 or self.rules[~a][1] != 1:
+                return state
+            state = self.gotos[base][self.rules[~a][0]]
