@@ -378,6 +378,13 @@ def changed_nodes(spark, d):
     return diff.changed_nodes(g.nodes, g.nodes.join(wanted(g), "ord").select("file")).select("ord")
 
 
+@query(with_graph("SELECT ord FROM v WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT substr(file, 4) AS f FROM v JOIN seeds USING (ord)) f WHERE ends_with(v.file, f.f))", SEEDS))
+def changed_nodes_partial(spark, d):
+    """The same by paths that begin within a part."""
+    g = lean(spark, d)
+    return diff.changed_nodes(g.nodes, g.nodes.join(wanted(g), "ord").select(F.expr("substring(file, 4)").alias("file"))).select("ord")
+
+
 @query(with_graph("SELECT *, CASE WHEN affected_nodes > 50 THEN 'critical' WHEN affected_nodes > 25 THEN 'high' WHEN affected_nodes > 10 THEN 'medium' ELSE 'low' END AS risk FROM su", BLAST, recursive=True))
 def blast_radius(spark, d):
     return blast(spark, d).summary()
@@ -628,9 +635,9 @@ def resolve_references(spark, d):
     return build.resolve(vertices(spark, d))
 
 
-@query(with_graph("SELECT src, count(*) AS edges FROM (SELECT caller AS src FROM res) GROUP BY 1", f"{IMPORTS}, {RESOLVE}"))
+@query(with_graph("SELECT row_number() OVER (ORDER BY caller, pos) AS eord, caller AS src, ord AS dst, 'calls' AS kind FROM res", f"{IMPORTS}, {RESOLVE}"))
 def built_edges(spark, d):
-    return build.build_graph(vertices(spark, d)).edges.groupBy("src").agg(F.count(F.lit(1)).alias("edges"))
+    return build.build_graph(vertices(spark, d)).edges.select("eord", "src", "dst", "kind")
 
 
 @query(
