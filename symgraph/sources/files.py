@@ -15,6 +15,7 @@ import warnings
 from collections.abc import Callable
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,8 +215,8 @@ def load_or_build(spark: SparkSession, folders: list[tuple[str, str]], build: Ca
                 g.nodes.isEmpty()
                 g.edges.isEmpty()
                 return g, folder
-            except PySparkException as e:
-                warnings.warn(f"snapshot {folder} cannot be read: {e}", stacklevel=2)
+            except (PySparkException, Py4JError) as e:
+                warnings.warn(f"snapshot {folder} cannot be read: {str(e)[:500]}", stacklevel=2)
     if not there and not kept_fresh and store is not None and not store.files().isEmpty():
         g, rung = build_graph(store.nodes()), "store"
     else:
