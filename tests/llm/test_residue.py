@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from symgraph.llm import residue
@@ -50,6 +52,13 @@ def test_residue_inside_a_patent(index):
     assert kinds(index, body + "CLAIMS\nThe requested document could not be loaded.") == {"error"}
 
 
+def test_trigger_passes_over_no_template_part(index, monkeypatch):
+    texts = ["[5ummary]", "[-Title-]", "[2 Absätze ergänzen]", "(3 mots à remplir)", "【2 記入】", "Xx.xX.XXXX", "** title missing **", "__inventor__", "%name%", "see [12] and (7)", *[t for ts in RESIDUE.values() for t in ts], *CLEAN]
+    got = [(kinds(index, t), list(index.residue(t))) for t in texts]
+    monkeypatch.setattr(residue, "_TRIGGER", re.compile(""))
+    assert [(kinds(index, t), list(index.residue(t))) for t in texts] == got and sum(("template" in k) for k, _ in got[:9]) >= 6
+
+
 def test_windows_keep_quotations_whole():
     assert [w.strip() for w in windows('It reads "Wait. Reload." twice. Then 3.5 mm.\n\n後で。次')] == ['It reads "Wait. Reload." twice.', "Then 3.5 mm.", "後で。", "次"]
     assert terms("Élan 12 a1b 日本語 x") == ["elan", "alb", "日本", "本語", "x"]
