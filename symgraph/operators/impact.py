@@ -17,7 +17,7 @@ def impact(graph: CodeGraph, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
     A vertex on a circle through the seed comes out in both directions. The
     order of a listing is severity, hop and id.
     """
-    out = bfs_each(graph.edges, seeds, ["up", "down"], max_depth).where("hop > 0")
+    out = bfs_each(graph.edges, seeds, ["up", "down"], max_depth, entry_edges=True).where("hop > 0")
     return out.withColumns({"severity": severity(F.col("hop")), "severity_rank": severity_rank(F.col("hop"))})
 
 

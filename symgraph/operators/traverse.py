@@ -16,7 +16,7 @@ from symgraph.schema import CodeGraph
 from symgraph.session import checkpoint, partitions
 
 #: A frontier of at most so many rows (a few numbers and a short word each) is brought to the edges, else both are shuffled.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 50_000
 
 
 def steps(edges: DataFrame, direction: str) -> DataFrame:
@@ -26,46 +26,52 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
     return {"down": down, "up": up, "both": up.unionAll(down)}[direction]
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int = 0) -> DataFrame:
-    """``seed, ord, hop, entry_edge`` of all vertices within ``max_depth`` steps of each seed (0: any number), the seeds at hop 0.
+def bfs(edges: DataFrame, seeds: DataFrame, direction: str, max_depth: int = 0, entry_edges: bool = False) -> DataFrame:
+    """``seed, ord, hop`` of all vertices within ``max_depth`` steps of each seed (0: any number), the seeds at hop 0.
 
-    ``seeds`` has ``ord``. The hop is the least number of steps; ``entry_edge``
-    is the kind of the first step on such a way, at ties that by the smallest
+    ``seeds`` has ``ord``. The hop is the least number of steps. With
+    ``entry_edges`` there is ``entry_edge`` too: the kind of the first step on such a way, at ties that by the smallest
     vertex before, then the smallest kind.
     """
-    return bfs_each(edges, seeds, [direction], max_depth).drop("direction")
+    return bfs_each(edges, seeds, [direction], max_depth, entry_edges).drop("direction")
 
 
-def bfs_each(edges: DataFrame, seeds: DataFrame, directions: list[str], max_depth: int = 0) -> DataFrame:
+def bfs_each(edges: DataFrame, seeds: DataFrame, directions: list[str], max_depth: int = 0, entry_edges: bool = False) -> DataFrame:
     """:func:`bfs` in several directions apart, in the same rounds; with ``direction``."""
-    ways = [steps(edges, d).withColumn("direction", F.lit(d)) for d in directions]
-    # parallel and repeated steps do not matter here; each pair of ends is kept with its smallest kind
+    ways = [steps(edges, d).withColumn("direction", F.lit(i)) for i, d in enumerate(directions)]
     # laid by where a step begins, so that no level moves the edges again
     way = reduce(DataFrame.unionAll, ways).repartition(partitions(edges.sparkSession), "direction", "at")
-    way = checkpoint(way.groupBy("direction", "at", "to").agg(F.min("kind").alias("kind")))
-    start = seeds.select(F.explode(F.array(*[F.lit(d) for d in directions])).alias("direction"), F.col("ord").alias("seed"), "ord", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("entry_edge"))
-    front = checkpoint(start.distinct())
+    # parallel and repeated steps do not matter here; each pair of ends is kept with its smallest kind
+    way = checkpoint(way.groupBy("direction", "at", "to").agg(F.min("kind").alias("kind")) if entry_edges else way.select("direction", "at", "to").distinct())
+    start = seeds.select(F.explode(F.array(*[F.lit(i) for i in range(len(directions))])).alias("direction"), F.col("ord").alias("seed"), "ord").distinct()
+    front = checkpoint(start.withColumn("entry_edge", F.lit(None).cast("string")) if entry_edges else start)
     levels, depth, key, n = [front], 0, ["direction", "seed", "to"], front.count()
     while not max_depth or depth < max_depth:
         depth += 1
-        seen = reduce(DataFrame.unionAll, levels).select("direction", "seed", F.col("ord").alias("to"))
-        first = F.coalesce("entry_edge", "kind")
+        seen = reduce(DataFrame.unionAll, [x.select("direction", "seed", F.col("ord").alias("to")) for x in levels])
         near = front if n > BROADCAST_ROWS else F.broadcast(front)
-        nexts = near.withColumnRenamed("ord", "at").join(way, ["direction", "at"]).groupBy(*key).agg(F.min(F.struct("at", first.alias("edge")))["edge"].alias("entry_edge"))
-        nexts = nexts.join(seen, key, "left_anti")
-        front = checkpoint(nexts.select("direction", "seed", F.col("to").alias("ord"), F.lit(depth).alias("hop"), "entry_edge"))
+        met = near.withColumnRenamed("ord", "at").join(way, ["direction", "at"])
+        if entry_edges:
+            first = F.coalesce("entry_edge", "kind")
+            nexts = met.groupBy(*key).agg(F.min(F.struct("at", first.alias("edge")))["edge"].alias("entry_edge"))
+        else:
+            nexts = met.select(*key).distinct()
+        front = checkpoint(nexts.join(seen, key, "left_anti").withColumnRenamed("to", "ord"))
         n = front.count()
         if not n:
             break
         levels.append(front)
-    return reduce(DataFrame.unionAll, levels)
+    # the hop and the direction's name are not written with every row
+    name = F.element_at(F.array(*[F.lit(d) for d in directions]), F.col("direction") + 1).alias("direction")
+    edge = ["entry_edge"] if entry_edges else []
+    return reduce(DataFrame.unionAll, [x.select(name, "seed", "ord", F.lit(k).alias("hop"), *edge) for k, x in enumerate(levels)])
 
 
 def dependents(graph: CodeGraph, seeds: DataFrame, max_depth: int) -> DataFrame:
     """``seed, ord, hop``: who depends on the seeds within ``max_depth`` steps over edges of any kind; none for 0."""
     if max_depth <= 0:
         return seeds.where("false").select(F.col("ord").alias("seed"), "ord", F.lit(0).alias("hop"))
-    return bfs(graph.edges, seeds, "up", max_depth).where("hop > 0").drop("entry_edge")
+    return bfs(graph.edges, seeds, "up", max_depth).where("hop > 0")
 
 
 def shortest_path(graph: CodeGraph, start: int, end: int) -> list[int] | None:

@@ -171,7 +171,7 @@ _ENTRY_EDGE = """
 def entry_edges(spark, d):
     """By which kind of edge a walk up from each vertex of the query set first steps."""
     g = lean(spark, d)
-    return traverse.bfs(g.edges, wanted(g), "up", 5).where("hop > 0")
+    return traverse.bfs(g.edges, wanted(g), "up", 5, entry_edges=True).where("hop > 0")
 
 
 # ------------------------------------------------------------- ranking and maps

@@ -53,7 +53,7 @@ def test_diamond_cycle_and_depth(spark):
 
 def test_entry_edge_is_inherited(spark):
     g, at, n = graph(spark, "a>b:imports b>c a>d")
-    rows = {n[r.ord]: r.entry_edge for r in traverse.bfs(g.edges, seed(spark, at["a"]), "down", 5).collect()}
+    rows = {n[r.ord]: r.entry_edge for r in traverse.bfs(g.edges, seed(spark, at["a"]), "down", 5, entry_edges=True).collect()}
     assert rows == {"a": None, "b": "imports", "c": "imports", "d": "calls"}
 
 
