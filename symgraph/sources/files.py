@@ -113,7 +113,14 @@ def deleted_files(cached: DataFrame, files: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Nodes by file and the files' mtimes below a folder, in Parquet; another schema version empties it."""
+    """Nodes by file and the files' mtimes below a folder, in Parquet; another schema version empties it.
+
+    Files fall into buckets by their hash. A put or remove writes the buckets of
+    its files anew, as a new version beside the others, and then replaces the
+    list of which version each bucket has, in one step.
+    """
+
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -122,27 +129,41 @@ class Store:
             self.clear()
 
     def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
 
     def _read(self, name: str) -> str | None:
         p = f"{self.folder}/{name}"
         return "".join(r[0] for r in self.spark.read.text(p).collect()) if self._fs.exists(self._path(name)) else None
 
+    def _write(self, name: str, text: str) -> None:
+        """A small file, written beside and moved over the old one."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        out = self._fs.create(self._path(f"{name}.new"), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(self._path(f"{name}.new"), self._path(name), how)
+
     def clear(self) -> None:
         self._fs.delete(self._path(""), True)
-        self.spark.createDataFrame([(SCHEMA_VERSION,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/version")
+        self._write("version", SCHEMA_VERSION)
+
+    def _versions(self) -> dict[str, int]:
+        return json.loads(self._read("current") or "{}")
 
-    def _current(self) -> str | None:
-        return self._read("current")
+    def _table(self, name: str, schema: str) -> DataFrame:
+        at = [f"v{v}/{name}/bucket={b}" for b, v in sorted(self._versions().items())]
+        there = [f"{self.folder}/{p}" for p in at if self._fs.exists(self._path(p))]
+        return self.spark.read.option("mergeSchema", True).parquet(*there) if there else self.spark.createDataFrame([], schema)
 
     def nodes(self) -> DataFrame:
-        at = self._current()
-        schema = NODES.replace(" references ", " refs ").replace(" column ", " col_no ")
-        return self.spark.read.parquet(f"{self.folder}/{at}/nodes") if at else self.spark.createDataFrame([], schema)
+        return self._table("nodes", NODES.replace(" references ", " refs ").replace(" column ", " col_no "))
 
     def files(self) -> DataFrame:
-        at = self._current()
-        return self.spark.read.parquet(f"{self.folder}/{at}/files") if at else self.spark.createDataFrame([], "file string, mtime long, n_nodes int")
+        return self._table("files", "file string, mtime long, n_nodes int")
 
     def get_mtime(self, file: str) -> int | None:
         r = self.files().where(F.col("file") == file).first()
@@ -151,25 +172,33 @@ class Store:
     def file_nodes(self, file: str) -> DataFrame:
         return self.nodes().where(F.col("file") == file)
 
+    def _bucket(self):
+        return F.pmod(F.xxhash64("file"), F.lit(self.BUCKETS)).cast("int")
+
     def put(self, files: DataFrame, nodes: DataFrame) -> None:
         """Replace what is stored of the files (``file, mtime``) by their new nodes, all at once: readers see the old or the new state."""
-        gone = files.select("file")
         counts = nodes.groupBy("file").agg(F.count(F.lit(1)).cast("int").alias("n_nodes"))
         new = files.select("file", "mtime").join(counts, "file", "left").fillna(0, ["n_nodes"])
-        self._replace(self.nodes().join(gone, "file", "left_anti").unionByName(nodes, allowMissingColumns=True), self.files().join(gone, "file", "left_anti").unionByName(new))
+        self._replace(files.select("file"), nodes, new)
 
     def remove(self, files: DataFrame) -> None:
-        gone = files.select("file")
-        self._replace(self.nodes().join(gone, "file", "left_anti"), self.files().join(gone, "file", "left_anti"))
-
-    def _replace(self, nodes: DataFrame, files: DataFrame) -> None:
-        old = self._current()
-        at = f"v{int(old[1:]) + 1 if old else 1}"
-        nodes.write.mode("overwrite").parquet(f"{self.folder}/{at}/nodes")
-        files.write.mode("overwrite").parquet(f"{self.folder}/{at}/files")
-        self.spark.createDataFrame([(at,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/current")
-        if old:
-            self._fs.delete(self._path(old), True)
+        self._replace(files.select("file"), None, None)
+
+    def _replace(self, gone: DataFrame, nodes: DataFrame | None, files: DataFrame | None) -> None:
+        touched = {r[0] for r in gone.select(self._bucket()).distinct().collect()}  # at most BUCKETS
+        if not touched:
+            return
+        versions = self._versions()
+        n = max(versions.values(), default=0) + 1
+        for name, old, new in (("nodes", self.nodes(), nodes), ("files", self.files(), files)):
+            rest = old.where(self._bucket().isin(list(touched))).join(gone, "file", "left_anti")
+            rows = rest if new is None else rest.unionByName(new, allowMissingColumns=True)
+            rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/v{n}/{name}")
+        self._write("current", json.dumps({**versions, **{str(b): n for b in touched}}))
+        for b in touched:
+            for name in ("nodes", "files"):
+                if str(b) in versions:
+                    self._fs.delete(self._path(f"v{versions[str(b)]}/{name}/bucket={b}"), True)
 
 
 # ------------------------------------------------------------- snapshots and exports

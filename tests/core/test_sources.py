@@ -113,3 +113,22 @@ def test_ids(spark):
     df = spark.createDataFrame([("a", "q", "function"), ("b", "q", "function")], "f string, q string, k string")
     ids = [r[0] for r in df.select(node_id(F.col("f"), F.col("q"), F.col("k"))).collect()]
     assert len(set(ids)) == 2 and all(len(i) == 16 for i in ids)
+
+
+def test_store_writes_only_the_buckets_it_must(spark, tmp_path):
+    schema = "file string, mtime long"
+    names = [f"f{i}.rs" for i in range(300)]
+    nodes = lambda fs, name: spark.createDataFrame([(f, name) for f in fs], "file string, name string")
+    store = S.Store(spark, f"{tmp_path}/store")
+    store.put(spark.createDataFrame([(f, 1) for f in names], schema), nodes(names, "a"))
+    before = store._versions()
+    store.put(spark.createDataFrame([("f7.rs", 2), ("none.rs", 3)], schema), nodes(["f7.rs"], "b"))
+    changed = [b for b, v in store._versions().items() if before.get(b) != v]
+    assert 1 <= len(changed) <= 2 and len(before) > 50
+    again = S.Store(spark, f"{tmp_path}/store")
+    assert sorted((r.file, r.name) for r in again.nodes().collect()) == sorted((f, "b" if f == "f7.rs" else "a") for f in names)
+    assert again.get_mtime("f7.rs") == 2 and again.files().where("file = 'none.rs'").first()["n_nodes"] == 0 and again.files().count() == 301
+    again.remove(spark.createDataFrame([(f,) for f in names[:299]], "file string"))
+    assert {r.file for r in store.files().collect()} == {"f299.rs", "none.rs"} and store.nodes().count() == 1
+    store.remove(spark.createDataFrame([("f299.rs",), ("none.rs",)], "file string"))
+    assert store.nodes().count() == 0 and store.files().isEmpty()
