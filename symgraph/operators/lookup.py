@@ -105,14 +105,15 @@ def largest_in_file(nodes: DataFrame) -> DataFrame:
 def enclosing_symbol(nodes: DataFrame, sites: DataFrame, file_id: Column | None = None) -> DataFrame:
     """``site, symbol``: per call site (``site, file, line``) the smallest symbol of the file around the line, else ``<file>:__file__``.
 
-    A range join: lines and symbols meet in blocks of 64 lines, so a file with
-    many of both is split over tasks.
+    A range join of lines, each once, with symbols cut at blocks of 64 lines, of
+    which the best one with the same part of a block is kept. So however many
+    symbols and sites a file has, a block is 64 lines and 2,080 parts at most.
     """
     size = 64
-    n = nodes.select("ord", "id", F.col("file").alias("f"), "line_start", "line_end")
-    n = n.withColumn("block", F.explode(F.sequence(F.floor(F.col("line_start") / size), F.floor(F.greatest("line_start", "line_end") / size))))
-    s = sites.withColumn("b", F.floor(F.col("line") / size))
-    met = s.join(n, (F.col("file") == F.col("f")) & (F.col("b") == F.col("block")) & F.col("line").between(F.col("line_start"), F.col("line_end")), "left")
-    best = F.min_by("id", F.struct(F.col("line_end") - F.col("line_start"), F.col("ord")))
-    out = met.groupBy("site").agg(best.alias("id"), F.first("file").alias("file"))
-    return out.select("site", F.coalesce("id", F.concat("file", F.lit(":__file__")) if file_id is None else file_id).alias("symbol"))
+    n = nodes.where("id IS NOT NULL").select("ord", "id", "file", F.col("line_start").cast("long").alias("a"), F.col("line_end").cast("long").alias("b"))
+    n = n.where("a <= b").withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / size), F.floor(F.col("b") / size))))
+    parts = n.select("file", "block", F.greatest("a", F.col("block") * size).alias("first"), F.least("b", F.col("block") * size + (size - 1)).alias("last"), F.struct((F.col("b") - F.col("a")).alias("lines"), "ord", "id").alias("best"))
+    parts = parts.groupBy("file", "block", "first", "last").agg(F.min("best").alias("best"))
+    lines = sites.select("file", "line").distinct().withColumn("block", F.floor(F.col("line") / size))
+    met = lines.join(parts, ["file", "block"]).where("line BETWEEN first AND last").groupBy("file", "line").agg(F.min("best")["id"].alias("id"))
+    return sites.join(met, ["file", "line"], "left").select("site", F.coalesce("id", F.concat("file", F.lit(":__file__")) if file_id is None else file_id).alias("symbol"))

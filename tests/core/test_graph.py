@@ -268,3 +268,25 @@ def test_enclosing_symbol(spark):
     n = g.nodes.withColumns({"line_start": F.when(F.col("name") == "outer", 1).otherwise(100), "line_end": F.when(F.col("name") == "outer", 500).otherwise(200)})
     sites = spark.createDataFrame([(1, "test.rs", 150), (2, "test.rs", 300), (3, "test.rs", 501), (4, "x.rs", 1)], "site long, file string, line int")
     assert {r.site: r.symbol for r in lookup.enclosing_symbol(n, sites).collect()} == {1: "inner", 2: "outer", 3: "test.rs:__file__", 4: "x.rs:__file__"}
+
+
+def join_rows(plan):
+    """Rows that the joins of a plan which has run put out."""
+    name = plan.nodeName()
+    inner = plan.executedPlan() if name == "AdaptiveSparkPlan" else plan.plan() if "QueryStage" in name else None
+    if inner is not None:
+        return join_rows(inner)
+    here = plan.metrics().get("numOutputRows").get().value() if "Join" in name else 0
+    return here + sum(join_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_enclosing_symbol_meets_crowded_lines_once(spark):
+    many = 3000
+    n = spark.range(many).selectExpr("id AS ord", "concat('s', id) AS id", "'hub.rs' AS file", "CAST(id % 30 AS INT) AS line_start", "CAST(30 + id % 101 AS INT) AS line_end")
+    n = n.unionAll(spark.createDataFrame([(-1, None, "hub.rs", 30, 30)], "ord long, id string, file string, line_start int, line_end int"))
+    sites = spark.range(many).selectExpr("id AS site", "'hub.rs' AS file", "CAST(id % 150 AS INT) AS line").unionAll(spark.createDataFrame([(-1, None, None), (-2, "hub.rs", None)], "site long, file string, line int"))
+    spans = sorted((30 + i % 101 - i % 30, i, i % 30, 30 + i % 101) for i in range(many))
+    best = {x: next((f"s{i}" for _, i, a, b in spans if a <= x <= b), "hub.rs:__file__") for x in range(150)}
+    out = lookup.enclosing_symbol(n, sites)
+    assert {r.site: r.symbol for r in out.collect()} == {i: best[i % 150] for i in range(many)} | {-1: None, -2: "hub.rs:__file__"}
+    assert join_rows(out._jdf.queryExecution().executedPlan()) < 200_000
