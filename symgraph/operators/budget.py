@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -11,13 +12,16 @@ from pyspark.sql.window import Window
 
 from symgraph.functions.predicates import compress_path, is_entry_point, is_generated_map, is_test_map, short_signature, token_estimate
 from symgraph.operators.order import running_total
-from symgraph.operators.traverse import bfs
+from symgraph.operators.traverse import bfs, steps
 from symgraph.schema import CodeGraph
+from symgraph.session import checkpoint
 
 #: Rows that are looked at in one go when a budget is filled in order.
 CHUNK = 10_000
 #: The same for a map, of whose symbols few fit.
 MAP_CHUNK = 500
+#: So many vertices that most slices come to have those of their neighbours that may fit (some hundreds each) sent to all workers.
+HUBS = 128
 
 
 def fold_in_order(rows: DataFrame, order: list[str], take: Callable[[Row], bool], fits: Callable[[], Column | None], chunk: int = CHUNK) -> list[Row]:
@@ -76,34 +80,118 @@ def slice_context(graph: CodeGraph, centrality: DataFrame, target: int, max_toke
     return kept, "token_budget" if skipped or len(kept) < total else "complete"
 
 
+def that_may_fit(rows: DataFrame, key: str, max_tokens: int) -> DataFrame:
+    """``key, ord, tokens, minus``: the rows without those that no slice with all rows of their key has room for; each partition by itself.
+
+    A slice is asked in the order of ``minus, ord``. If it takes a row, it took
+    all rows of the key before it that have no more tokens. Where these
+    and the row are over the budget, the row is never taken. The first such row
+    stays, so that the slice's candidates are over the budget too. What stays
+    of a key and a partition is bounded by the budget.
+    """
+
+    def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last, most, before, over = None, None, max_tokens, [], False
+        for b in batches:
+            keep = []
+            for i, (k, ord_, tokens) in enumerate(zip(*[b[c].tolist() for c in (key, "ord", "tokens")])):
+                if k != now:
+                    now, last, most, before, over = k, None, max_tokens, [], False
+                if ord_ == last:
+                    continue
+                last = ord_
+                if tokens <= most:
+                    if sum(t for t in before if t <= tokens) + tokens <= max_tokens:
+                        before.append(tokens)
+                        keep.append(i)
+                        continue
+                    most = tokens - 1
+                    before = [t for t in before if t <= most]
+                if not over:
+                    over = True
+                    keep.append(i)
+            yield b.iloc[keep]
+
+    rows = rows.select(key, "ord", "tokens", "minus").sortWithinPartitions(key, "minus", "ord")
+    return rows.mapInPandas(few, f"{key} long, ord long, tokens long, minus double")
+
+
 def slice_contexts(graph: CodeGraph, centrality: DataFrame, targets: DataFrame, max_tokens: int, max_depth: int = 2) -> DataFrame:
     """``target, pos, ord, depth, tokens, reason``: :func:`slice_context` without pins for every ``ord`` of ``targets`` at once.
 
-    The candidates of a target stream past in order; only what is kept of it is
-    held, which the budget bounds.
+    The last step of a walk looks only at those neighbours of a vertex that may
+    fit; the vertices that most targets come to are not joined with them, their
+    neighbours are looked up where a target is filled. The candidates of a
+    target stream past in order; only what is kept of it, and of its last step
+    what may fit, is held, which the budget bounds.
     """
-    near = bfs(graph.edges, targets.select("ord").distinct(), "both", max_depth).select(F.col("seed").alias("target"), "ord", F.col("hop").alias("depth"))
+    near = targets.select(F.col("ord").alias("target"), "ord", F.lit(0).alias("depth")).distinct()
+    bounded = max_tokens > 0 and max_depth > 0
+    walked = max_depth - 1 if bounded else max_depth
+    if walked > 0:
+        near = bfs(graph.edges, targets.select("ord").distinct(), "both", walked).select(F.col("seed").alias("target"), "ord", F.col("hop").alias("depth"))
     n = graph.nodes.select("ord", token_estimate(*[F.col(c) for c in ("name", "qualified_name", "file", "signature", "line_start", "line_end")]).cast("long").alias("tokens"))
-    rows = near.join(n, "ord").join(centrality.select("ord", "score"), "ord", "left").fillna(0.0, ["score"])
-    rows = rows.select("target", "ord", "depth", "tokens", (-F.col("score")).alias("minus"))
+    n = n.join(centrality.select("ord", "score"), "ord", "left").fillna(0.0, ["score"]).select("ord", "tokens", (-F.col("score")).alias("minus"))
+    if bounded:
+        n = checkpoint(n)
+        neighbours = steps(graph.edges, "both").select("at", F.col("to").alias("ord")).distinct().join(n, "ord").repartition("at")
+        neighbours = checkpoint(that_may_fit(neighbours, "at", max_tokens))
+        front = near.where(F.col("depth") == walked).select("target", F.col("ord").alias("at"))
+        hubs = checkpoint(front.groupBy("at").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "at").limit(HUBS).select("at"))
+        held = neighbours.join(F.broadcast(hubs), "at").toPandas()
+        last = that_may_fit(front.join(F.broadcast(hubs), "at", "left_anti").join(neighbours, "at"), "target", max_tokens).withColumn("depth", F.lit(max_depth))
+        rows = near.join(n, "ord").unionByName(last).repartition("target").groupBy("target", "ord", "tokens", "minus").agg(F.min("depth").alias("depth"))
+    else:
+        rows, held = near.join(n, "ord").repartition("target"), pd.DataFrame({c: [] for c in ("at", "ord", "tokens", "minus")})
+    # the hubs' neighbours in order, and by hub the places of its own
+    known = held.drop_duplicates("ord").sort_values(["minus", "ord"])
+    known_ords, known_tokens, known_minus = (known[c].to_numpy() for c in ("ord", "tokens", "minus"))
+    place = {o: i for i, o in enumerate(known_ords.tolist())}
+    places = {at: np.array([place[o] for o in g.tolist()]) for at, g in held.groupby("at")["ord"]}
+
+    def last_step(met: list[int], asked: list[int], more: list[tuple], room: int) -> tuple[list[tuple], bool]:
+        """What is kept of the last step: the neighbours of the hubs ``met``, without those ``asked`` before, and ``more``; whether that is all."""
+        at = np.setdiff1d(np.concatenate([places[h] for h in met]), asked) if met else np.array([], int)
+        more = [r for r in more if not (r[0] in place and (at == place[r[0]]).any())]
+        ords, tokens, minus = (np.concatenate([k[at], [r[i] for r in more]]) if more else k[at] for i, k in enumerate((known_ords, known_tokens, known_minus)))
+        order = np.lexsort((ords, minus))
+        ords, tokens, kept, i = ords[order], tokens[order], [], 0
+        while (fits := np.flatnonzero(tokens[i:] <= room)).size:
+            i += int(fits[0])
+            kept.append((int(ords[i]), max_depth, int(tokens[i])))
+            room -= kept[-1][2]
+            i += 1
+        return kept, len(kept) == len(ords)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, now, kept, used, reason = ["target", "pos", "ord", "depth", "tokens", "reason"], None, [], 0, "complete"
+        names, now, kept, used, whole, met, asked, more = ["target", "pos", "ord", "depth", "tokens", "reason"], None, [], 0, True, [], [], []
+
+        def filled() -> list[tuple]:
+            rest, all_kept = last_step(met, asked, more, max_tokens - used) if bounded else ([], True)
+            return [(now, pos, *k, "complete" if whole and all_kept else "token_budget") for pos, k in enumerate([*kept, *rest])]
+
         for b in batches:
             out = []
-            for target, ord_, depth, tokens in zip(*[b[c].tolist() for c in ("target", "ord", "depth", "tokens")]):
+            for target, ord_, depth, tokens, minus in zip(*[b[c].tolist() for c in ("target", "ord", "depth", "tokens", "minus")]):
                 if target != now:
-                    out += [(*k, reason) for k in kept]
-                    now, kept, used, reason = target, [], 0, "complete"
+                    out += filled()
+                    now, kept, used, whole, met, asked, more = target, [], 0, True, [], [], []
+                if depth > walked:
+                    more.append((ord_, tokens, minus))
+                    continue
+                if depth == walked and ord_ in places:
+                    met.append(ord_)
+                if ord_ in place:
+                    asked.append(place[ord_])
                 if max_tokens and used + tokens > max_tokens:
-                    reason = "token_budget"
+                    whole = False
                     continue
-                kept.append((target, len(kept), ord_, depth, tokens))
+                kept.append((ord_, depth, tokens))
                 used += tokens
             yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame([(*k, reason) for k in kept], columns=names)
+        yield pd.DataFrame(filled(), columns=names)
 
-    ordered = rows.repartition("target").sortWithinPartitions("target", "depth", "minus", "ord").select("target", "ord", "depth", "tokens")
+    ordered = rows.select("target", "ord", "depth", "tokens", "minus").sortWithinPartitions("target", "depth", "minus", "ord")
     return ordered.mapInPandas(fold, "target long, pos int, ord long, depth int, tokens long, reason string")
 
 

@@ -546,7 +546,8 @@ NEAR = f"""
 )
 def slice_budget(spark, d):
     """The neighbourhood of each vertex of the query set under 4,000 tokens."""
-    g = graph(spark, d)
+    g = code_graph(spark, d)
+    g = CodeGraph(checkpoint(g.nodes.select("ord", "name", "qualified_name", "file", "signature", "line_start", "line_end")), checkpoint(g.edges.select("src", "dst", "kind")))
     return budget.slice_contexts(g, scores(spark, d), wanted(g), 4000)
 
 

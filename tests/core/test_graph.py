@@ -290,3 +290,32 @@ def test_enclosing_symbol_meets_crowded_lines_once(spark):
     out = lookup.enclosing_symbol(n, sites)
     assert {r.site: r.symbol for r in out.collect()} == {i: best[i % 150] for i in range(many)} | {-1: None, -2: "hub.rs:__file__"}
     assert join_rows(out._jdf.queryExecution().executedPlan()) < 200_000
+
+
+@pytest.mark.parametrize(("hubs", "limit", "depth"), [(128, 900, 2), (1, 900, 3), (128, 900, 0)])
+def test_slices_do_not_meet_all_neighbours_of_a_hub(spark, monkeypatch, hubs, limit, depth):
+    monkeypatch.setattr(budget, "HUBS", hubs, raising=False)
+    many, first = 500, list(range(0, 500, 10))
+    pairs = {(i, 0) for i in range(0, many, 2)} | {(i, 1 + i % 7) for i in range(many - 5)} | {(0, 1)}
+    n = spark.range(many).selectExpr("id AS ord", "concat('n', id) AS name", "'q' AS qualified_name", "'f.rs' AS file", "'' AS signature", "1 AS line_start", "CAST(1 + id * 37 % 90 AS INT) AS line_end")
+    g = CodeGraph(n, spark.createDataFrame([(a, b, "calls") for a, b in sorted(pairs)], "src long, dst long, kind string"))
+    score = {i: i * 31 % 11 / 10 for i in range(0, many, 3)}
+    tokens = {i: -(-(len(f"n{i}") + 5 + 40 * (i * 37 % 90 + 1)) // 4) for i in range(many)}
+    want = set()
+    for s in first:
+        hop, used, kept, whole = {s: 0}, 0, [], True
+        for k in range(depth):
+            at = {o for o in hop if hop[o] == k}
+            for o in {b for a, b in pairs if a in at} | {a for a, b in pairs if b in at}:
+                hop.setdefault(o, k + 1)
+        for o in sorted(hop, key=lambda o: (hop[o], -score.get(o, 0), o)):
+            if used + tokens[o] > limit:
+                whole = False
+                continue
+            used += tokens[o]
+            kept.append((s, len(kept), o, hop[o], tokens[o]))
+        want |= {(*r, "complete" if whole else "token_budget") for r in kept}
+    out = budget.slice_contexts(g, spark.createDataFrame(list(score.items()), "ord long, score double"), seed(spark, *first), limit, depth)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+    if depth == 2:
+        assert join_rows(out._jdf.queryExecution().executedPlan()) < 5000
